@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import simhash
+from inkwell.llm import mixing, simhash
 from inkwell.session import table
 
 QUERIES = {}
@@ -27,3 +27,9 @@ def query(sql: str | None = None):
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(mixing.MIX_SQL)
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mixed_counts(table(spark, sf_dir, "documents"))
