@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import mixing, simhash
+from inkwell.llm import decontam, mixing, simhash
 from inkwell.session import table
 
 QUERIES = {}
@@ -33,3 +33,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
+
+
+@query(decontam.CONTAMINATION_SQL)
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark items, and where."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
