@@ -44,8 +44,8 @@ def test_matches_brute_force(spark):
                 part[rng.choice([0, 1, -1, len(part) // 2])] = "x"
             w += part[d % 4 :] + rng.choices(vocabulary, k=rng.randint(0, 30))
         docs.append((d, " ".join(w).upper() if d % 5 == 0 else "\n".join(w)))
-    docs += [(100, None), (101, ""), (102, "one  two\tTHREE"), (103, "b a " * 300), (104, "z " * 20000 + items[3][1]),
-             (105, " ".join(items[2][1].split()[1:])), (106, "x single y")]
+    docs += [(1100, None), (1101, ""), (1102, "one  two\tTHREE"), (1103, "b a " * 300), (1104, "z " * 20000 + items[3][1]),
+             (1105, " ".join(items[2][1].split()[1:])), (1106, "x single y")]
     got = decontam.contamination(
         spark.createDataFrame([(*r, 1, "h") for r in docs], "doc_id long, text string, n int, h string"),
         spark.createDataFrame([(*r, 2.0) for r in items], "item_id long, text string, similarity double"))
