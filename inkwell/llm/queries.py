@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import decontam, mixing, simhash, toxicity
+from inkwell.llm import decontam, id_codec, mixing, simhash, toxicity
+from inkwell.llm.encoder import vocabulary_path
 from inkwell.session import table
 
 QUERIES = {}
@@ -46,3 +47,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.scores(docs, toxicity.train(docs, labels))
+
+
+@query()
+def op8_token_id_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and digest as read back from the written shards."""
+    return id_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(id_codec.VOCABULARY))
