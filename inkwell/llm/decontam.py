@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 RADIUS = 23
 BLOCKS = 8
 WIDTH = 64 // BLOCKS
+#: Different benchmark shingles that are broadcast; 16 bytes each.
+MOST_WANTED = 1_000_000
 LANE = 21  # bits of a counting lane: three lanes in a long hold windows of up to 2 million shingles
 
 
@@ -76,10 +78,7 @@ def items_table(benchmark: DataFrame) -> DataFrame:
     """(item_id, n, k, ish, fp) for every item that has a word."""
     told = benchmark.select("item_id", words(F.lower("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     told = told.withColumn("k", F.least(F.col("n"), F.lit(SHINGLE)))
-    hashes = reduce(
-        lambda rest, k: F.when(F.col("k") == k, _all_hashes(F.col("w"), k)).otherwise(rest),
-        range(1, SHINGLE), _all_hashes(F.col("w"), SHINGLE))
-    told = materialize(told.select("item_id", "n", "k", hashes.alias("ish")).distinct(), "items")
+    told = materialize(told.select("item_id", "n", "k", _hashes_by_k(F.col("w"), F.col("k")).alias("ish")).distinct(), "items")
     one = told.withColumn("t", F.hash("ish"))
     fps = simhash(one.select(F.col("item_id").alias("i"), F.col("t").alias("j"), F.explode("ish").alias("h")), ["i", "j"])
     return materialize(
@@ -87,30 +86,50 @@ def items_table(benchmark: DataFrame) -> DataFrame:
         "items")
 
 
-def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, th, n, s, sh): the windows of step 1 with their shingles; s counts words from 0."""
+def _hashes_by_k(array: Column, k: Column) -> Column:
+    return reduce(
+        lambda rest, n: F.when(k == n, _all_hashes(array, n)).otherwise(rest),
+        range(1, SHINGLE), _all_hashes(array, SHINGLE))
+
+
+def _windows(docs: DataFrame, items: DataFrame, most_wanted: int = MOST_WANTED) -> DataFrame | None:
+    """(doc_id, th, n, s, sh): the windows of step 1 with their shingles; s counts words from 0.
+
+    While the benchmark has at most ``most_wanted`` different shingles they are broadcast: the scan, the split into shingles,
+    the lookup and the cut of the window are then one stage, and only windows are shuffled. A larger benchmark is
+    joined by shuffling the documents' shingles, and the documents that have any are read a second time.
+    """
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.lower("text")).alias("w"))
-    found = []
+    found, wholly = [], True
     for (k,) in items.select("k").distinct().collect():  # five values at most
         wanted = materialize(
             items.where(F.col("k") == k).select("n", F.explode("ish").alias("h")).distinct(), "wanted")
+        small = wanted.limit(most_wanted + 1).count() <= most_wanted
+        wholly &= small
         shifted = [F.col("w"), *[F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))) for i in range(1, k)]]
         rows = base.where(F.size("w") >= k).select(
-            "doc_id", "th", F.size("w").alias("total"), F.posexplode(F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(shifted)])).alias("at", "z"))
+            *base.columns, F.posexplode(F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(shifted)])).alias("at", "z"))
         rows = rows.where(F.col(f"z.w{k - 1}").isNotNull()).select(
-            "doc_id", "th", "total", "at", F.xxhash64(*[F.col(f"z.w{i}") for i in range(k)]).alias("h"))
-        hits = rows.join(wanted, "h").select(
-            "doc_id", "th", "n", F.lit(k).alias("k"), F.least("at", F.greatest(F.col("total") - F.col("n"), F.lit(0))).alias("s"))
-        found.append(hits.distinct())
+            *(base.columns if small else ("doc_id", "th", F.size("w").alias("total"))), "at",
+            F.xxhash64(*[F.col(f"z.w{i}") for i in range(k)]).alias("h"))
+        total = F.size("w") if small else F.col("total")
+        start = F.least("at", F.greatest(total - F.col("n"), F.lit(0))).alias("s")
+        if small:
+            hits = rows.join(F.broadcast(wanted), "h").select("doc_id", "th", "n", start, F.slice("w", start + 1, F.col("n")).alias("ww"))
+            found.append(hits.select("doc_id", "th", "n", "s", _all_hashes(F.col("ww"), k).alias("sh"), F.lit(k).alias("k")))
+        else:
+            hits = rows.join(wanted, "h").select("doc_id", "th", "n", start)
+            found.append(hits.select("*", F.lit(None).cast("array<bigint>").alias("sh"), F.lit(k).alias("k")))
     if not found:
         return None
-    starts = materialize(reduce(DataFrame.union, found), "starts")
-    marked = starts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "k").distinct()
-    told = base.join(marked, base["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    hashes = reduce(
-        lambda rest, k: F.when(F.col("k") == k, _all_hashes(F.col("w"), k)).otherwise(rest),
-        range(1, SHINGLE), _all_hashes(F.col("w"), SHINGLE))
-    told = told.select("d", "t", F.col("k").alias("j"), hashes.alias("hashes")).dropDuplicates(["d", "t", "j"])
+    starts = reduce(DataFrame.union, found).dropDuplicates(["doc_id", "th", "n", "s"])
+    if wholly:
+        return materialize(starts.drop("k"), "windows")
+    starts = materialize(starts, "starts")
+    marked = starts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("k").alias("j")).distinct()
+    texts = docs.withColumn("th", F.xxhash64("text"))
+    told = texts.join(marked, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    told = told.select("d", "t", "j", _hashes_by_k(words(F.lower("text")), F.col("j")).alias("hashes")).dropDuplicates(["d", "t", "j"])
     return materialize(
         starts.join(told, starts["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("k") == F.col("j")))
         .select("doc_id", "th", "n", "s", F.slice("hashes", F.col("s") + 1, F.col("n") - F.col("k") + 1).alias("sh")), "windows")
@@ -125,7 +144,9 @@ def _common_weight(a: str, b: str) -> Column:
         F.aggregate(both, F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most_wanted: int = MOST_WANTED
+) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): a row for each document and benchmark item of which the
     document holds a similar window, with its best window.
 
@@ -135,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     shingle or end the text); null ids stay null. Empty tables give no rows; other columns are ignored.
     """
     items = items_table(benchmark)
-    windows = _windows(docs, items)
+    windows = _windows(docs, items, most_wanted)
     schema = "doc_id {}, item_id {}, start int, n_words int, similarity double".format(
         docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     if windows is None:
