@@ -126,9 +126,9 @@ def _plain(url: str) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]
 
 
 def _count(batches):
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for url in batch.column("path").to_pylist():
-            total = np.zeros(0, np.int64)
             for *_, ids in _plain(url):
                 got = np.bincount(ids)
                 if len(got) > len(total):
@@ -136,13 +136,14 @@ def _count(batches):
                     total = got
                 else:
                     total[: len(got)] += got
-            ids = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
 
 
-def _dealt(files: DataFrame) -> DataFrame:
-    """One small row for each file, spread over tasks."""
-    return files.repartition(max(1, files.count()))
+def _dealt(files: DataFrame, most: int | None = None) -> DataFrame:
+    """One small row for each file, spread over as many tasks, ``most`` at most."""
+    n = max(1, files.count())
+    return files.repartition(min(n, most or n))
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = END_ID, text: str = "text") -> DataFrame:
@@ -161,7 +162,8 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = END_
     plain = materialize(
         keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "__text")
         .mapInArrow(_encode_part(work, path, end_id), _FILES), "plain")
-    counted = _dealt(plain.select("path")).mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tasks = 2 * spark.sparkContext.defaultParallelism  # each brings one row for each id at most
+    counted = _dealt(plain.select("path"), tasks).mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counted.orderBy(F.col("n").desc(), "id").toArrow()  # at most the vocabulary's size
     by_rank = ranked["id"].to_numpy().astype(np.uint32)
     out, _ = bytewords.open_out(folder, "ranks")
