@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
+from inkwell.llm.native_text import broadcast_if_small
+from inkwell.session import materialize
+
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -171,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     counts = dict(told.groupBy("toxic").count().collect())
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = lambda label: F.lit(min(1.0, per_label / max(1, counts.get(label, 0))))
-    chosen = told.where(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
+    chosen = materialize(told.where(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0))), "sample")
+    chosen = broadcast_if_small(chosen, 4 * per_label)  # about 2 * per_label rows
 
     def features(batches):
         maker = _Features()
