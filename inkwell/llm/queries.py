@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import decontam, id_codec, mixing, simhash, toxicity
+from inkwell.llm import decontam, id_codec, langid, line_quality, mixing, simhash, toxicity
 from inkwell.llm.encoder import vocabulary_path
 from inkwell.session import table
 
@@ -53,3 +53,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_id_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and digest as read back from the written shards."""
     return id_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(id_codec.VOCABULARY))
+
+
+@query(line_quality.MEASURE_SQL)
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of every document."""
+    return line_quality.measure(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
