@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import decontam, id_codec, langid, line_quality, mixing, simhash, toxicity
+from inkwell.llm import decontam, id_codec, kneser_ney, langid, line_quality, mixing, simhash, toxicity, warc
 from inkwell.llm.encoder import vocabulary_path
 from inkwell.session import table
 
@@ -66,3 +66,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
+
+
+@query()
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base score and the model's score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.train(docs))
+
+
+@query(warc.REVISIT_SQL)
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the written archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("html", "url")
