@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import decontam, id_codec, kneser_ney, langid, line_quality, mixing, simhash, toxicity, warc
+from inkwell.llm import decontam, id_codec, kneser_ney, langid, line_quality, mixing, simhash, token_counts, toxicity, warc
 from inkwell.llm.encoder import vocabulary_path
 from inkwell.session import table
 
@@ -79,3 +79,9 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the written archives."""
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("html", "url")
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
