@@ -22,3 +22,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return run
 
     return register
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from inkwell.plans import text_queries  # noqa: F401
