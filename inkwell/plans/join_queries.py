@@ -330,3 +330,16 @@ def keep_first_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sequential keep-first pass over similar documents keeps."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return similar.keep_first(docs, near_dup_pairs(spark, sf_dir))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents), q AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark),
+dt AS (SELECT doc_id, w, count(*) AS tf FROM d GROUP BY ALL), qt AS (SELECT item_id, w, count(*) AS tf FROM q GROUP BY ALL), f AS (SELECT w, count(*) AS df FROM dt GROUP BY w), n AS (SELECT count(*) AS n FROM documents),
+dw AS (SELECT doc_id, w, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM dt JOIN f USING (w), n), qw AS (SELECT item_id, w, tf * (ln((1 + n) / (1 + COALESCE(df, 0))) + 1) AS x FROM qt LEFT JOIN f USING (w), n),
+dn AS (SELECT doc_id, sqrt(SUM(x * x)) AS l FROM dw GROUP BY doc_id), qn AS (SELECT item_id, sqrt(SUM(x * x)) AS l FROM qw GROUP BY item_id),
+s AS (SELECT item_id, doc_id, SUM(qw.x * dw.x) AS p FROM qw JOIN dw USING (w) GROUP BY ALL), r AS (SELECT item_id, doc_id, round(p / (qn.l * dn.l), 9) AS score FROM s JOIN qn USING (item_id) JOIN dn USING (doc_id))
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r QUALIFY rank <= 3""")
+def tfidf_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents nearest to each benchmark item by TF-IDF cosine."""
+    tokens = lambda name, key: table(spark, sf_dir, name).select(key, F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), F.lower).alias("tokens"))
+    return similar.tfidf_nearest(tokens("benchmark", "item_id"), tokens("documents", "doc_id"), 3, "item_id", "doc_id")

@@ -72,3 +72,27 @@ def test_strict_ingestion(spark, form):
     found = {(r.line_no, r.severity): r.message for r in issues.collect()}
     assert sorted(n for n, s in found if s == "error") == [3, 4, 5, 6, 7, 8]
     assert found[1, "warning"] == "dropped input key id" and found[10, "warning"].startswith("text normalized")
+
+
+def test_number_words():
+    from inkwell.functions.numerals import read_english, read_vietnamese
+
+    assert [read_english(t) for t in ("twenty five", "a hundred", "two hundred and five thousand", "fiver", "one million two", "cat", "", None)] == [
+        25, 100, 205_000, 5, 1_000_002, None, None, None]
+    assert [read_vietnamese(t) for t in ("hai tram nam muoi", "muoi lam", "mot tram linh nam", "hai tram nam", "bay", "muoi", "xe", "")] == [
+        250, 15, 105, 250, 7, 10, None, None]
+
+
+def test_viterbi_equals_all_paths():
+    import itertools
+
+    import numpy as np
+
+    from inkwell.functions.decode import best_path
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+        total = lambda p: sum(scores[i, t] for i, t in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        assert tuple(best_path(scores, moves)) == max(itertools.product(range(3), repeat=5), key=total)
+    assert best_path(np.zeros((0, 3)), np.zeros((3, 3))) == []
