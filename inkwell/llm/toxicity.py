@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     """Fit on labelled training rows of ``docs``: joined by doc_id, a bounded sample of each label, features
     made on the executors and brought to the driver as integers."""
     told = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic").distinct()
-    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = told.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = dict(told.groupBy("toxic").count().collect())
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = lambda label: F.lit(min(1.0, per_label / max(1, counts.get(label, 0))))
