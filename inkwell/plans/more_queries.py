@@ -140,3 +140,119 @@ def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     flat = F.slice(F.col("embedding").cast("array<double>"), F.lit(1), (F.size("embedding") / 3).cast("int") * 3)
     return e.select("vec_id", viterbi(flat, MOVES).alias("tags"))
+
+
+_SOFT = """s AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[] AS a, embedding[4:6]::DOUBLE[] AS b FROM embeddings),
+p AS (SELECT vec_id, label, list_transform(a, lambda x: exp(x - list_max(a)) / list_sum(list_transform(a, lambda y: exp(y - list_max(a))))) AS p,
+  list_transform(b, lambda x: exp(x - list_max(b)) / list_sum(list_transform(b, lambda y: exp(y - list_max(b))))) AS q FROM s)"""
+
+
+def soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distributions over three types from each vector."""
+    from inkwell.functions import arrays as A
+
+    part = lambda at: F.transform(A.log_softmax(F.slice(F.col("embedding").cast("array<double>"), at, 3)), F.exp)
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", part(1).alias("p"), part(4).alias("q"))
+
+
+@query(f"""WITH {_SOFT} SELECT vec_id, round(p[1] * ln(p[1] / q[1]) + p[2] * ln(p[2] / q[2]) + p[3] * ln(p[3] / q[3]), 7) AS kl,
+  round(-(p[1] * ln(q[1]) + p[2] * ln(q[2]) + p[3] * ln(q[3])), 7) AS cross_entropy FROM p""")
+def soft_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence and cross entropy between a vector's two distributions."""
+    from inkwell.functions import arrays as A
+
+    entropy = -A.dot(F.col("p"), F.transform("q", lambda x: F.log(x)))
+    return soft(spark, sf_dir).select("vec_id", F.round(A.kl_divergence(F.col("p"), F.col("q")), 7).alias("kl"), F.round(entropy, 7).alias("cross_entropy"))
+
+
+@query(f"""WITH {_SOFT}, r AS (SELECT vec_id, [round(p[1], 1), round(p[2], 1), round(p[3], 1)] AS p FROM p)
+SELECT vec_id, ['expense', 'income', 'transfer'][list_position(p, list_max(p))] AS type, list_filter([CASE WHEN abs(list_sum(p) - 1) > 0.01 THEN 'sum' END, CASE WHEN list_min(p) = 0 THEN 'zero' END], lambda x: x IS NOT NULL) AS violations FROM r""")
+def soft_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounded distributions as maps: the contract's broken rules, and the largest type in fixed order."""
+    from inkwell.functions import arrays as A
+
+    types = F.array(*map(F.lit, ("expense", "income", "transfer")))
+    rows = soft(spark, sf_dir).select("vec_id", F.map_from_arrays(types, F.transform("p", lambda x: F.round(x, 1))).alias("m"))
+    values = F.map_values("m")
+    return rows.select(
+        "vec_id", F.element_at(types, A.argmax(values) + 1).alias("type"),
+        F.array_compact(F.array(F.when(F.abs(A.total(values) - 1) > 0.01, "sum"), F.when(F.array_min(values) == 0, "zero"))).alias("violations"))
+
+
+@query("""
+WITH r AS (SELECT o_orderpriority, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS i FROM orders)
+SELECT o_orderpriority, list(o_orderkey ORDER BY i) FILTER (WHERE i <= 3) AS latest, count(*) AS n FROM r GROUP BY o_orderpriority""")
+def latest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest orders of each priority and their count; top three by task first."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderdate")
+    by = lambda *keys: Window.partitionBy(*keys).orderBy(F.col("o_orderdate").desc(), "o_orderkey")
+    local = rows.withColumn("p", F.spark_partition_id()).withColumn("r", F.row_number().over(by("o_orderpriority", "p"))).where("r <= 3")
+    top = local.withColumn("r", F.row_number().over(by("o_orderpriority"))).where("r <= 3")
+    lists = top.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list(F.struct("r", "o_orderkey"))).alias("l"))
+    counts = rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(lists, "o_orderpriority").select("o_orderpriority", F.transform("l", lambda x: x["o_orderkey"]).alias("latest"), "n")
+
+
+@query("""
+SELECT doc_id, CASE WHEN text IN (SELECT text FROM benchmark) THEN 'test_text' WHEN source LIKE 'src1%' THEN 'held_source' WHEN COALESCE(toxic, 0) = 1 THEN 'toxic' END AS reason FROM documents LEFT JOIN labels USING (doc_id)""")
+def forbidden_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a row may not be trained on, the first reason that holds."""
+    known = table(spark, sf_dir, "benchmark").select("text", F.lit(True).alias("known")).distinct()
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rows = table(spark, sf_dir, "documents").join(known, "text", "left").join(labels, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("known"), "test_text").when(F.col("source").startswith("src1"), "held_source").when(F.col("toxic") == 1, "toxic").alias("reason"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, unnest(list_filter(['all', CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN quality = 1 THEN 'good' END, CASE WHEN COALESCE(toxic, 0) = 0 THEN 'safe' END], lambda x: x IS NOT NULL)) AS arm, length(text) AS n FROM documents LEFT JOIN labels USING (doc_id))
+SELECT arm, count(*) AS n_rows, SUM(n)::BIGINT AS n_chars FROM a GROUP BY arm""")
+def arms_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping training arms as one tagged union."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    arms = F.array_compact(F.array(F.lit("all"), F.when(F.col("lang") == "en", "english"), F.when(F.col("quality") == 1, "good"), F.when(F.coalesce("toxic", F.lit(0)) == 0, "safe")))
+    return rows.select(F.explode(arms).alias("arm"), "n").groupBy("arm").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_chars"))
+
+
+@query(r"""
+WITH n AS (SELECT lang, unnest(regexp_extract_all(text, '\d[\d.,]*')) AS x FROM documents), c AS (SELECT lang, CASE WHEN regexp_matches(x, '^\d+$') THEN 'plain' WHEN regexp_matches(x, '^\d{1,3}([.,]\d{3})+$') THEN 'grouped' WHEN regexp_matches(x, '^\d+[.,]\d+$') THEN 'decimal' ELSE 'other' END AS kind, length(x) AS l FROM n)
+SELECT lang, kind, count(*) AS n, max(l)::INT AS longest FROM c GROUP BY ALL""")
+def number_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written numbers by language and form."""
+    x = F.col("x")
+    kind = F.when(x.rlike(r"^\d+$"), "plain").when(x.rlike(r"^\d{1,3}([.,]\d{3})+$"), "grouped").when(x.rlike(r"^\d+[.,]\d+$"), "decimal").otherwise("other")
+    rows = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\d[\d.,]*"), 0)).alias("x"))
+    return rows.groupBy("lang", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("x")).alias("longest"))
+
+
+@query(r"""
+WITH w AS (SELECT lang, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM w GROUP BY ALL)
+SELECT lang, w, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w)::INT AS rank FROM c QUALIFY rank <= 30""")
+def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 most used words of each language."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w"))
+    counts = words.groupBy("lang", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    local = Window.partitionBy("lang", "p").orderBy(F.col("n").desc(), "w")
+    near = counts.withColumn("p", F.spark_partition_id()).withColumn("rank", F.row_number().over(local)).where("rank <= 30").drop("p")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "w"))).where("rank <= 30")
+
+
+@query("""
+WITH c AS (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_size ORDER BY sha256('fix:' || p_partkey)) AS k FROM part)
+SELECT p_partkey, p_size, row_number() OVER (ORDER BY k > 1, sha256('fix:' || p_partkey))::INT AS position FROM c QUALIFY position <= 60""")
+def repair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty rows, a first of every size before any second, each in hash order."""
+    h = F.sha2(F.concat(F.lit("fix:"), F.col("p_partkey").cast("string")), 256)
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", h.alias("h"))
+    first = rows.groupBy("p_size").agg(F.min("h").alias("least"))
+    told = rows.join(first, "p_size").withColumn("later", F.col("h") > F.col("least")).orderBy("later", "h").limit(60)
+    return told.select("p_partkey", "p_size", F.row_number().over(Window.orderBy("later", "h")).alias("position"))
+
+
+@query("""
+WITH s(seed) AS (SELECT DISTINCT l_linenumber FROM lineitem), f(flag) AS (SELECT DISTINCT l_returnflag FROM lineitem), c AS (SELECT l_linenumber AS seed, l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)
+SELECT seed, flag, COALESCE(n, 0) AS n FROM s CROSS JOIN f LEFT JOIN c USING (seed, flag)""")
+def zero_filled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over every combination of two small dimensions."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("seed"), F.col("l_returnflag").alias("flag"), "l_quantity")
+    hit = F.count_if(F.col("l_quantity") > 45).alias("n")
+    return rows.groupBy("seed").pivot("flag", ["A", "N", "R"]).agg(hit).na.fill(0).unpivot("seed", ["A", "N", "R"], "flag", "n")

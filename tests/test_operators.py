@@ -96,3 +96,19 @@ def test_viterbi_equals_all_paths():
         total = lambda p: sum(scores[i, t] for i, t in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
         assert tuple(best_path(scores, moves)) == max(itertools.product(range(3), repeat=5), key=total)
     assert best_path(np.zeros((0, 3)), np.zeros((3, 3))) == []
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    from inkwell.sources import manifest
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_bytes(b"one")
+    (tmp_path / "sub" / "b.txt").write_bytes(b"two")
+    before = spark.createDataFrame(manifest.snapshot(spark, str(tmp_path)).collect(), "file string, sha256 string, bytes long")
+    assert {r.file: (r.sha256, r.bytes) for r in before.collect()} == {"a.txt": (hashlib.sha256(b"one").hexdigest(), 3), "sub/b.txt": (hashlib.sha256(b"two").hexdigest(), 3)}
+    (tmp_path / "a.txt").write_bytes(b"1ne")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    (tmp_path / "sub" / "b.txt").unlink()
+    assert sorted(map(tuple, manifest.verify(manifest.snapshot(spark, str(tmp_path)), before).collect())) == [("a.txt", "content differs"), ("c.txt", "unexpected"), ("sub/b.txt", "missing")]
