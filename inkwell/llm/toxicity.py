@@ -167,8 +167,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float]:
-    """Fit on labelled training rows of ``docs``: joined by doc_id, a bounded sample of each label, features
-    made on the executors and brought to the driver as integers."""
+    """Fit on labelled training rows of ``docs``: joined by doc_id, a bounded sample of each label. Features are
+    made where the texts are; one task gathers them as integers and fits."""
     told = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic").distinct()
     told = told.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = dict(told.groupBy("toxic").count().collect())
@@ -188,14 +188,26 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
                 "g": [None if t is None else maker.of_words(t).tobytes() for t in twins],
             })
 
-    rows = (
-        docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
-        .mapInArrow(features, "toxic int, f binary, g binary").toArrow()
-    )
-    order = sorted(zip(rows["toxic"].to_pylist(), rows["f"].to_pylist(), rows["g"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
-    made = [np.frombuffer(f, np.int32) for _, f, _ in order]
-    pairs = [(i, np.frombuffer(g, np.int32)) for i, (_, _, g) in enumerate(order) if g is not None]
-    return fit_rows(made, np.array([t for t, _, _ in order], dtype=np.float64), pairs)
+    def fit(batches):
+        order = sorted(
+            (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("toxic", "f", "g")), strict=True)),
+            key=lambda r: (r[0], r[1]))
+        made = [np.frombuffer(f, np.int32) for _, f, _ in order]
+        pairs = [(i, np.frombuffer(g, np.int32)) for i, (_, _, g) in enumerate(order) if g is not None]
+        w, b = fit_rows(made, np.array([t for t, _, _ in order], dtype=np.float64), pairs)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(np.concatenate(([-1], at)), pa.int32()), "w": pa.array(np.concatenate(([b], w[at].astype(np.float64))))})
+
+    made = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, f binary, g binary")
+    # The sample is bounded, so one task fits it; the driver gets the weights that are not 0.
+    told = made.repartition(1).mapInArrow(fit, "bucket int, w double").toArrow()
+    weights, intercept = np.zeros(BUCKETS, np.float32), 0.0
+    buckets, values = told["bucket"].to_numpy(), told["w"].to_numpy()
+    weights[buckets[buckets >= 0]] = values[buckets >= 0]
+    if (buckets < 0).any():
+        intercept = float(values[buckets < 0][0])
+    return weights, intercept
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
