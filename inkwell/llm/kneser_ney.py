@@ -1,23 +1,27 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney model of any order from 2: counted in Spark, stored as sorted hash arrays, mapped by workers.
 
 Tokens are words in lower-cased (A-Z) text and one end token for each document; a start mark is a context only.
 Nothing is pruned or sampled: every training token counts.
 
-Counting is one job. Map tasks hash tokens in numpy, count distinct bigrams and words of some millions of tokens at a time, and
-send them packed, by ranges of their hash, so no shard depends on how often one word occurs. Shards merge
-bigram counts, write them as sorted arrays to the shared folder, and send on what they add to each word's statistics:
-in how many distinct contexts it occurs, and how many successors follow it once, twice and more often. A second
-step merges those by word and writes the word arrays. The driver sees a few totals of each shard.
+Counting is one job. Map tasks hash tokens in numpy, count distinct n-grams of the full order and words of some millions of tokens
+at a time, and send them packed, by ranges of their hash, so no shard depends on how often one word occurs. One step for each order,
+from the highest to 2, merges its n-grams, writes them as sorted arrays to the shared folder, and sends on what they add to
+the next: an n-gram of a lower order counts in how many distinct contexts it occurs, or, at the start of a document, how often. From order
+3 shards are ranges of the context's hash, so each also writes its contexts: their successors' counts in total, and how many follow once, twice and
+more often. Order 2 sends the same statistics of its words on to a last step, which merges them by word and writes the word arrays. The
+driver sees a few totals of each shard.
 
 Scoring is one pass over the texts: workers map the arrays from the shared folder and look up each batch's
 distinct words and bigrams in hash order, so reads go forward through each file and the pages are shared by all workers of
 a machine. A shared folder that has no path on the machine is read through pyarrow instead.
 
-Bigrams are identified by a 64-bit hash of the upper 48 bits of their words' hashes, words by 64 bits.
+N-grams are identified by a 64-bit hash of the upper 48 bits of their words' hashes, words by 64 bits.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 
 import numpy as np
@@ -32,12 +36,15 @@ from inkwell.session import local_path, materialize, scratch_path
 
 START = np.uint64(0x5D1E5A2B7C3F9E01)
 END = np.uint64(0xA7C1D3E5F70B9D02)
+#: Words of the longest n-grams that the registered query counts.
+ORDER = 3
 FLUSH_TOKENS = 4_000_000
 _LOW = np.uint64(16)
+_MOST_BITS = 16  # of a context's hash that its n-grams' keys begin with
 _ROWS = "kind int, shard int, blob binary"
 # Layouts of the stored arrays.
-_BIGRAM = np.dtype([("key", "<u8"), ("n", "<u4")])
-_STATS = ("cont", "n1", "n2", "n3")
+_GRAM = np.dtype([("key", "<u8"), ("n", "<u4")])
+_CONTEXT = np.dtype([("key", "<u8"), ("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 
 
 def tokens(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +70,28 @@ def bigram_keys(before48: np.ndarray, word48: np.ndarray) -> np.ndarray:
     return bytewords.mix(bytewords.mix(before48 + np.uint64(0x9E3779B97F4A7C15)) ^ (word48 * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def histories(before: np.ndarray, places: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order`` - 1 tokens before each token, the nearest first; beyond a document's start they are start marks."""
+    found = [before]
+    while len(found) < order - 1:
+        earlier = np.empty_like(before)
+        earlier[1:] = found[-1][:-1]
+        earlier[places[:-1]] = START
+        found.append(earlier)
+    return found
+
+
+def gram_keys(words48: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Keys of n-grams given as columns of words, and from three words on keys of their contexts, of which the former have the
+    first bits."""
+    key, context = bigram_keys(words48[0], words48[1]), None
+    for w in words48[2:]:
+        context = bytewords.mix(key)
+        rest = np.uint64(64 - _MOST_BITS)
+        key = (context >> rest << rest) | (bigram_keys(context, w) >> np.uint64(_MOST_BITS))
+    return key, context
+
+
 def _six(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -100,29 +129,33 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         [pa.array(kinds, pa.int32()), pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "shard", "blob"])
 
 
-def _map(bits: int):
+def _map(bits: int, order: int):
     def flush(parts):
-        h, before = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, *before = (np.concatenate(x) for x in zip(*parts, strict=True))
         words, counts = np.unique(h, return_counts=True)
         cuts = _shards(words, bits)
         for s in range(1 << bits):
             a, b = cuts[s], cuts[s + 1]
             if b > a:
                 yield 0, s, _put([words[a:b].tobytes(), counts[a:b].astype("<i8").tobytes()])
-        w, c = h >> _LOW, before >> _LOW
-        keys, first, counts = np.unique(bigram_keys(c, w), return_index=True, return_counts=True)
+        grams = [x >> _LOW for x in (*before[::-1], h)]
+        keys, contexts = gram_keys(grams)
+        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
         cuts = _shards(keys, bits)
         for s in range(1 << bits):
-            at = first[cuts[s] : cuts[s + 1]]
+            at, n = first[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]
             if len(at):
-                yield 2, s, _put([_six(c[at]), _six(w[at]), counts[cuts[s] : cuts[s + 1]].astype("<u4").tobytes()])
+                if contexts is not None:  # equal contexts side by side take little space
+                    by_context = np.argsort(contexts[at])
+                    at, n = at[by_context], n[by_context]
+                yield order, s, _put([*[_six(x[at]) for x in grams], n.astype("<u4").tobytes()])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, _, buffer, offsets in bytewords.slices_of(batch.column("text")):
-                h, before, _ = tokens(buffer, offsets)
-                held.append((h, before))
+                h, before, places = tokens(buffer, offsets)
+                held.append((h, *histories(before, places, order)))
                 size += len(h)
                 if size >= FLUSH_TOKENS:
                     yield _batch(list(flush(held)))
@@ -149,56 +182,86 @@ def _merge(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], order[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
 
 
-def _reduce(folder: str, bits: int):
+def _sums(n: np.ndarray) -> list[np.ndarray]:
+    """What n-grams of the counts n add to their context: the count, and whether they follow once, twice and more often."""
+    return [n, *[x.astype(np.int64) for x in (n == 1, n == 2, n >= 3)]]
+
+
+def _reduce(folder: str, bits: int, k: int):
+    """Merge and store the n-grams of k words; send on what they add to those of k - 1 words."""
+
+    def write(name, dtype, *columns):
+        stored = np.empty(len(columns[0]), dtype)
+        for field, x in zip(dtype.names, columns, strict=True):
+            stored[field] = np.minimum(x, 0xFFFFFFFF) if dtype[field].itemsize == 4 else x
+        out, url = bytewords.open_out(folder, name)
+        with out:
+            out.write(stored.tobytes())
+        return url
+
     def run(batches):
         for shard, kinds in sorted(_by_shard(batches).items()):
-            rows = []
+            rows = [(9, shard, _put(x)) for x in kinds.get(9, [])]
             if 0 in kinds:
                 words = np.concatenate([np.frombuffer(x[0], "<u8") for x in kinds[0]])
                 words, _, counts = _merge(words, np.concatenate([np.frombuffer(x[1], "<i8") for x in kinds[0]]))
                 rows.append((0, shard, _put([words.tobytes(), counts.tobytes()])))
-            if 2 in kinds:
-                c = np.concatenate([_from_six(x[0]) for x in kinds[2]])
-                w = np.concatenate([_from_six(x[1]) for x in kinds[2]])
-                n = np.concatenate([np.frombuffer(x[2], "<u4") for x in kinds[2]]).astype(np.int64)
-                keys, at, n = _merge(bigram_keys(c, w), n)
-                c, w = c[at], w[at]
-                out, url = bytewords.open_out(folder, f"bigrams-{shard:06d}")
-                with out:
-                    stored = np.empty(len(keys), _BIGRAM)
-                    stored["key"], stored["n"] = keys, np.minimum(n, 0xFFFFFFFF)
-                    out.write(stored.tobytes())
-                rows.append((9, shard, _put([url.encode(), np.array([(n == k).sum() for k in (1, 2, 3, 4)], "<i8").tobytes()])))
-                # What each 48-bit hash gains, as the later word and as the context.
-                h = np.concatenate((w, c))
-                ones = [np.concatenate(((np.full(len(w), k == 0), x if k else np.zeros(len(c), bool)))) for k, x in
-                        enumerate((None, n == 1, n == 2, n >= 3))]
-                h, _, *sums = _merge(h << _LOW, *[x.astype(np.int64) for x in ones])
-                cuts = _shards(h, bits)
-                for s in range(1 << bits):
-                    a, b = cuts[s], cuts[s + 1]
-                    if b > a:
-                        rows.append((1, s, _put([_six(h[a:b] >> _LOW), *[x[a:b].astype("<u4").tobytes() for x in sums]])))
-            yield _batch(rows)
+            if k in kinds:
+                grams = [np.concatenate([_from_six(x[i]) for x in kinds[k]]) for i in range(k)]
+                n = np.concatenate([np.frombuffer(x[k], "<u4") for x in kinds[k]]).astype(np.int64)
+                keys, contexts = gram_keys(grams)
+                keys, at, n = _merge(keys, n)
+                grams = [x[at] for x in grams]
+                told = {"k": k, "contexts": None}
+                if k == 2:
+                    told["grams"] = write(f"grams-2-{shard:06d}", _GRAM, keys, n)
+                    ones = n
+                    # What each 48-bit hash gains, as the later word and as the context.
+                    c, w = grams
+                    h = np.concatenate((w, c))
+                    sums = [np.concatenate((np.full(len(w), i == 0, np.int64), x)) for i, x in
+                            enumerate((np.zeros(len(c), np.int64), *_sums(n)))]
+                    h, _, *sums = _merge(h << _LOW, *sums)
+                    cuts = _shards(h, bits)
+                    for s in range(1 << bits):
+                        a, b = cuts[s], cuts[s + 1]
+                        if b > a:
+                            rows.append((1, s, _put([_six(h[a:b] >> _LOW), *[x[a:b].astype("<i8").tobytes() for x in sums]])))
+                else:
+                    # Beyond a document's start stand no n-grams of this order; their counts are those of the next order's first ones.
+                    padded = grams[1] == START >> _LOW
+                    ones = n[~padded]
+                    told["grams"] = write(f"grams-{k}-{shard:06d}", _GRAM, keys[~padded], ones)
+                    found, _, *sums = _merge(contexts[at][~padded], *_sums(ones))
+                    told["contexts"] = write(f"contexts-{k}-{shard:06d}", _CONTEXT, found, *sums)
+                    suffix, _ = gram_keys(grams[1:])
+                    suffix, at, n = _merge(suffix, np.where(padded, n, 1))
+                    grams = [x[at] for x in grams[1:]]
+                    cuts = _shards(suffix, bits)
+                    for s in range(1 << bits):
+                        a, b = cuts[s], cuts[s + 1]
+                        if b > a:
+                            rows.append((k - 1, s, _put([*[_six(x[a:b]) for x in grams], np.minimum(n[a:b], 0xFFFFFFFF).astype("<u4").tobytes()])))
+                told["n"] = [int((ones == i).sum()) for i in (1, 2, 3, 4)]
+                rows.append((9, shard, _put([json.dumps(told).encode()])))
+            if rows:
+                yield _batch(rows)
 
     return run
 
 
-_TOTALS = ("n_tokens", "n_words", "distinct", *[f"n{k}" for k in range(1, 5)], *[f"m{k}" for k in range(1, 5)], *[f"s{k}" for k in range(1, 4)])
-_MANIFEST = "shard int, words string, bigrams string, " + ", ".join(f"{x} long" for x in _TOTALS)
+_TOTALS = ("n_tokens", "n_words", "distinct", *[f"m{k}" for k in range(1, 5)], *[f"s{k}" for k in range(1, 4)])
+_MANIFEST = "shard int, words string, levels string, " + ", ".join(f"{x} long" for x in _TOTALS)
 
 
 def _finish(folder: str):
     def run(batches):
         for shard, kinds in sorted(_by_shard(batches).items()):
-            row = dict.fromkeys(_TOTALS, 0) | {"shard": shard, "words": None, "bigrams": None}
-            if 9 in kinds:
-                ((url, counts),) = kinds[9]
-                row["bigrams"] = url.decode()
-                row |= {f"n{k + 1}": int(x) for k, x in enumerate(np.frombuffer(counts, "<i8"))}
+            row = dict.fromkeys(_TOTALS, 0) | {"shard": shard, "words": None}
+            row["levels"] = json.dumps([json.loads(x[0]) for x in kinds.get(9, [])])
             stats = kinds.get(1, [])
             h48 = np.concatenate([_from_six(x[0]) for x in stats]) if stats else np.zeros(0, np.uint64)
-            h48, _, *sums = _merge(h48, *[np.concatenate([np.frombuffer(x[1 + k], "<u4") for x in stats]).astype(np.int64) if stats else np.zeros(0, np.int64) for k in range(4)])
+            h48, _, *sums = _merge(h48, *[np.concatenate([np.frombuffer(x[1 + k], "<i8") for x in stats]) if stats else np.zeros(0, np.int64) for k in range(5)])
             words, counts = (np.frombuffer(x, t) for x, t in zip(kinds[0][0], ("<u8", "<i8"), strict=True)) if 0 in kinds else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             is_start = h48 == START >> _LOW
             keys = np.concatenate((words, np.full(int(is_start.any()), START)))
@@ -221,7 +284,7 @@ def _finish(folder: str):
 
 
 def _arrow_manifest() -> pa.Schema:
-    return pa.schema([("shard", pa.int32()), ("words", pa.string()), ("bigrams", pa.string()), *[(x, pa.int64()) for x in _TOTALS]])
+    return pa.schema([("shard", pa.int32()), ("words", pa.string()), ("levels", pa.string()), *[(x, pa.int64()) for x in _TOTALS]])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -237,44 +300,43 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """The stored arrays and totals. Instances travel to workers as paths and a few numbers."""
 
-    def __init__(self, bits: int, rows: list[dict]):
-        self.bits = bits
-        self.paths = {r["shard"]: (r["words"], r["bigrams"]) for r in rows}
+    def __init__(self, bits: int, rows: list[dict], order: int = 2):
+        self.bits, self.order = bits, order
+        self.paths = {r["shard"]: r["words"] for r in rows}
+        self.levels: dict[int, dict[int, dict]] = {k: {} for k in range(2, order + 1)}
+        for r in rows:
+            for x in json.loads(r["levels"]):
+                self.levels[x["k"]][r["shard"]] = x
         total = {k: sum(r[k] for r in rows) for k in _TOTALS}
         self.n, self.v, self.distinct = total["n_tokens"], total["n_words"], total["distinct"]
-        self.d2 = discounts(*[total[f"n{k}"] for k in range(1, 5)])
+        self.d = {k: discounts(*np.sum([x["n"] for x in found.values()] or [[0] * 4], axis=0).tolist()) for k, found in self.levels.items()}
         self.d1 = discounts(*[total[f"m{k}"] for k in range(1, 5)])
         spare = sum(self.d1[k] * total[f"s{k}"] for k in (1, 2, 3))
         self.rest = spare / self.distinct if self.distinct else 1.0
         self.open: dict = {}
-        self.starts = None
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
     def _array(self, url: str) -> np.ndarray:
         path = local_path(url)
+        if path and not os.path.getsize(path):  # cannot be mapped
+            return np.zeros(0, np.uint8)
         return np.memmap(path, np.uint8, "r") if path else np.frombuffer(bytewords.read_all(url), np.uint8)
 
     def _words(self, shard: int):
         if ("w", shard) not in self.open:
-            data = self._array(self.paths[shard][0])
+            data = self._array(self.paths[shard])
             n = int(data[:8].view("<q")[0])
-            columns = data[8:].view("<i8").reshape(6, n)
+            columns = data[8:].view("<i8").reshape(7, n)
             self.open["w", shard] = (columns[0].view("<u8"), columns[1:])
         return self.open["w", shard]
 
-    def _bigrams(self, shard: int):
-        if ("b", shard) not in self.open:
-            data = self._array(self.paths[shard][1]).view(_BIGRAM)
-            self.open["b", shard] = (data["key"], data["n"])
-        return self.open["b", shard]
-
     def words(self, keys: np.ndarray) -> np.ndarray:
-        """(count, contexts, successors once, twice, more) as rows of 64-bit integers for sorted distinct hashes; 0 if unknown."""
-        out = np.zeros((5, len(keys)), np.int64)
+        """(count, contexts, successors' total, once, twice, more) as rows of 64-bit integers for sorted distinct hashes; 0 if unknown."""
+        out = np.zeros((6, len(keys)), np.int64)
         cuts = _shards(keys, self.bits)
-        for s, (words, _) in self.paths.items():
+        for s, words in self.paths.items():
             a, b = cuts[s], cuts[s + 1]
             if words and b > a:
                 stored, columns = self._words(s)
@@ -284,36 +346,47 @@ class Model:
                 out[:, a:b][:, hit] = columns[:, at[hit]]
         return out
 
-    def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts for sorted distinct bigram keys."""
-        out = np.zeros(len(keys), np.int64)
+    def find(self, k: int, part: str, keys: np.ndarray) -> np.ndarray:
+        """The fields beside the key of the grams or contexts of order k, as rows for sorted distinct keys; 0 if unknown."""
+        dtype = _GRAM if part == "grams" else _CONTEXT
+        out = np.zeros((len(dtype.names) - 1, len(keys)), np.int64)
         cuts = _shards(keys, self.bits)
-        for s, (_, bigrams) in self.paths.items():
+        for s, told in self.levels[k].items():
             a, b = cuts[s], cuts[s + 1]
-            if bigrams and b > a:
-                stored, n = self._bigrams(s)
-                at = np.searchsorted(stored, keys[a:b])
+            if b > a:
+                if (k, part, s) not in self.open:
+                    self.open[k, part, s] = self._array(told[part]).view(dtype)
+                stored = self.open[k, part, s]
+                at = np.searchsorted(stored["key"], keys[a:b])
                 hit = at < len(stored)
-                hit[hit] = stored[at[hit]] == keys[a:b][hit]
-                out[a:b][hit] = n[at[hit]]
+                hit[hit] = stored["key"][at[hit]] == keys[a:b][hit]
+                found = stored[at[hit]]
+                for row, field in zip(out, dtype.names[1:], strict=True):
+                    row[a:b][hit] = found[field]
         return out
 
-    def logs(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each token after the one before it, its base log10 probability, and whether it is known."""
-        if self.starts is None:  # the start mark is followed by one token in each training document
-            self.starts = int(self.words(np.array([END]))[0, 0])
-        words, inverse = np.unique(np.concatenate((h, before)), return_inverse=True)
+    def logs(self, h: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each token after the ``order`` - 1 before it (``histories``), its base log10 probability, and whether it is
+        known."""
+        words, inverse = np.unique(np.concatenate((h, before[0])), return_inverse=True)
         told = self.words(words)
         own, context = told[:, inverse[: len(h)]], told[:, inverse[len(h) :]]
         base = np.log10((own[0] + 1) / (self.n + self.v + 1))
         cont = own[1]
-        lower = np.maximum(cont - self.d1[np.minimum(cont, 3)], 0) / max(1, self.distinct) + self.rest / (self.v + 1)
-        seen = np.where(before == START, self.starts, context[0])
-        keys, back = np.unique(bigram_keys(before >> _LOW, h >> _LOW), return_inverse=True)
-        n = self.bigrams(keys)[back]
-        follows = self.d2[1] * context[2] + self.d2[2] * context[3] + self.d2[3] * context[4]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(seen > 0, (np.maximum(n - self.d2[np.minimum(n, 3)], 0) + follows * lower) / seen, lower)
+        p = np.maximum(cont - self.d1[np.minimum(cont, 3)], 0) / max(1, self.distinct) + self.rest / (self.v + 1)
+        for k, d in self.d.items():
+            keys, contexts = gram_keys([x >> _LOW for x in (*before[: k - 1][::-1], h)])
+            keys, back = np.unique(keys, return_inverse=True)
+            n = self.find(k, "grams", keys)[0][back]
+            if k == 2:
+                seen, once, twice, more = context[2:]
+            else:
+                contexts, back = np.unique(contexts, return_inverse=True)
+                seen, once, twice, more = self.find(k, "contexts", contexts)[:, back]
+                seen = np.where(before[k - 3] == START, 0, seen)  # the context would begin before the document
+            follows = d[1] * once + d[2] * twice + d[3] * more
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(seen > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + follows * p) / seen, p)
         return np.log10(p), base, own[0] > 0
 
 
@@ -322,17 +395,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 2) -> Model:
     """Count the training rows of ``docs`` and store the model in the shared folder. A null text is an empty one, that is one end
     token. Repeated rows count as often as they stand there."""
+    if order < 2:
+        raise ValueError("the order is at least 2")
     spark = docs.sparkSession
-    folder = scratch_path(spark, "bigram-model")
-    bits = max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    folder = scratch_path(spark, "ngram-model")
+    bits = min(_MOST_BITS, max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     parts = 1 << bits
-    counted = docs.where(~held_out()).select("text").mapInArrow(_map(bits), _ROWS)
-    reduced = counted.repartitionById(parts, F.col("shard")).mapInArrow(_reduce(folder, bits), _ROWS)
-    done = materialize(reduced.repartitionById(parts, F.col("shard")).mapInArrow(_finish(folder), _MANIFEST), "manifest")
-    return Model(bits, [r.asDict() for r in done.collect()])
+    counted = docs.where(~held_out()).select("text").mapInArrow(_map(bits, order), _ROWS)
+    for k in range(order, 1, -1):
+        counted = counted.repartitionById(parts, F.col("shard")).mapInArrow(_reduce(folder, bits, k), _ROWS)
+    done = materialize(counted.repartitionById(parts, F.col("shard")).mapInArrow(_finish(folder), _MANIFEST), "manifest")
+    return Model(bits, [r.asDict() for r in done.collect()], order)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -348,7 +424,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for a, b, buffer, offsets in bytewords.slices_of(batch.column("__text")):
                 h, before, places = tokens(buffer, offsets)
-                p, base, known = model.logs(h, before)
+                p, base, known = model.logs(h, *histories(before, places, model.order))
                 rows = batch.slice(a, b - a)
                 sums = [np.add.reduceat(x, places[:-1]) for x in (known.astype(np.int64), base, p)]
                 yield pa.RecordBatch.from_arrays(

@@ -72,7 +72,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base score and the model's score of every document."""
     docs = table(spark, sf_dir, "documents")
-    return kneser_ney.score(docs, kneser_ney.train(docs))
+    return kneser_ney.score(docs, kneser_ney.train(docs, kneser_ney.ORDER))
 
 
 @query(warc.REVISIT_SQL)

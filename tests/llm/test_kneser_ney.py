@@ -88,3 +88,61 @@ def test_probabilities_sum_to_one(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert kn.score(docs, kn.train(docs)).count() == 0
+
+
+def slow_order(texts, order):
+    """Adjusted counts of the n-grams of 2 to ``order`` words: in how many contexts they occur; at the full order and at a document's
+    start how often."""
+    raw = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        marked = ["<s>", *split(t)]
+        for k in range(2, order + 1):
+            raw[k].update(tuple(marked[i : i + k]) for i in range(len(marked) - k + 1))
+    found = {order: raw[order]}
+    for k in range(order - 1, 1, -1):
+        left = Counter(g[1:] for g in raw[k + 1])
+        found[k] = {g: n if g[0] == "<s>" else left[g] for g, n in raw[k].items()}
+    return found
+
+
+def slow_probability(history, word, counts, v):
+    """Of ``word`` after the tuple ``history``, by the textbook's recursion."""
+    def discount(values):
+        n = Counter(values)
+        if not (n[1] and n[2] and n[3]):
+            return [0, 0.5, 1.0, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        found = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+        return [0, *[d if 0 < d <= k else k / 2 for k, d in enumerate(found, 1)]]
+
+    if not history:
+        contexts = Counter(w for _, w in counts[2])
+        d = discount(contexts.values())
+        n = contexts[word]
+        return max(n - d[min(n, 3)], 0) / len(counts[2]) + sum(d[min(x, 3)] for x in contexts.values()) / len(counts[2]) / (v + 1)
+    table = counts[len(history) + 1]
+    d = discount(table.values())
+    after = [n for g, n in table.items() if g[:-1] == history]
+    lower = slow_probability(history[1:], word, counts, v)
+    if not after:
+        return lower
+    n = table.get((*history, word), 0)
+    return (max(n - d[min(n, 3)], 0) + sum(d[min(x, 3)] for x in after) * lower) / sum(after)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_any_order_matches_the_textbook(spark, order):
+    rng = random.Random(order)
+    vocabulary = ["a", "B", "longer-than-eight-bytes", "ä"] + [f"w{i}" for i in range(8)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(50)] + [None, "", "a", "a b", "w1 never-seen w2 w3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, v = slow_order(learned, order), len({w for t in learned for w in split(t)})
+    for r in kn.score(docs, kn.train(docs, order)).collect():
+        marked = ["<s>", *split(texts[r.doc_id])]
+        want = sum(math.log10(slow_probability(tuple(marked[max(0, i - order + 1) : i]), marked[i], counts, v)) for i in range(1, len(marked)))
+        assert r.score == pytest.approx(want)
+
+
+def test_the_registered_model_looks_beyond_the_previous_word():
+    assert kn.ORDER >= 3
