@@ -144,23 +144,12 @@ def _common_weight(a: str, b: str) -> Column:
         F.aggregate(both, F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h))))
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most_wanted: int = MOST_WANTED
-) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): a row for each document and benchmark item of which the
-    document holds a similar window, with its best window.
-
-    Texts are used whole. A null or empty text, on either side, holds nothing. A document shorter than an item
-    is compared whole. Rows that repeat a doc_id are told apart by their text and give one row for each
-    item at most (of equally similar windows that with the least start among those that begin at a common
-    shingle or end the text); null ids stay null. Empty tables give no rows; other columns are ignored.
-    """
+def _similar_windows(docs: DataFrame, benchmark: DataFrame, threshold: float, most_wanted: int) -> DataFrame | None:
+    """doc_id, th (the text's hash), item_id, s, n and similarity of every similar window; None for a benchmark without words."""
     items = items_table(benchmark)
     windows = _windows(docs, items, most_wanted)
-    schema = "doc_id {}, item_id {}, start int, n_words int, similarity double".format(
-        docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     if windows is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        return None
     keys = ["doc_id", "th", "n", "s"]
     marked = simhash(windows.select(*keys, F.explode("sh").alias("h")), keys)
     probes = [reduce(lambda x, y: x ^ y, flips, 0) for r in range(RADIUS // BLOCKS + 1)
@@ -184,16 +173,38 @@ def contamination(
     told = told.join(exact, exact["item_id"].eqNullSafe(F.col("p_item")) & (F.col("i_n") == F.col("n")))
     told = told.withColumn("common", _common_weight("sh", "ish"))
     similarity = F.col("common") / (F.size("sh") + F.size("ish") - F.col("common"))
-    told = told.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    return told.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most_wanted: int = MOST_WANTED
+) -> DataFrame:
+    """(doc_id, item_id, start, n_words, similarity): a row for each document and benchmark item of which the
+    document holds a similar window, with its best window.
+
+    Texts are used whole. A null or empty text, on either side, holds nothing. A document shorter than an item
+    is compared whole. Rows that repeat a doc_id are told apart by their text and give one row for each
+    item at most (of equally similar windows that with the least start among those that begin at a common
+    shingle or end the text); null ids stay null. Empty tables give no rows; other columns are ignored.
+    """
+    told = _similar_windows(docs, benchmark, threshold, most_wanted)
+    if told is None:
+        schema = "doc_id {}, item_id {}, start int, n_words int, similarity double".format(
+            docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
+        return docs.sparkSession.createDataFrame([], schema)
     best = F.max(F.struct("similarity", (-F.col("s")).alias("s"), "n"))
     return told.groupBy("doc_id", "item_id").agg(best.alias("m")).select(
         "doc_id", "item_id", (-F.col("m.s")).alias("start"), F.col("m.n").alias("n_words"), "m.similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no similar window of any benchmark item."""
-    bad = materialize(contamination(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` whose text holds no similar window of any benchmark item. Rows are told apart by doc_id and the text's hash, so
+    a contaminated row takes no other text with it, whether they share a doc_id or have none."""
+    told = _similar_windows(docs, benchmark, THRESHOLD, MOST_WANTED)
+    if told is None:
+        return docs
+    bad = materialize(told.select(F.col("doc_id").alias("__bad"), F.col("th").alias("__bad_th")).distinct(), "bad")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__bad_th")), "left_anti")
 
 
 CONTAMINATION_SQL = r"""

@@ -136,6 +136,17 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
+def _grouped(docs: DataFrame, radius: int, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """``keep`` and fp of every row; and fp, the least doc_id and the component's root (one of its fingerprints) of every fingerprint."""
+    marked = materialize(fingerprints(docs, keep=keep), "fingerprints")
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    edges = links(classes.select("fp"), radius)
+    parts = components(edges)
+    return marked, classes.join(parts, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id for every row of ``docs``.
 
@@ -148,13 +159,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal fingerprints collapse by a partial aggregate before any join, so a group of thousands of copies
     counts as one.
     """
-    marked = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    edges = links(classes.select("fp"), radius)
-    parts = components(edges)
-    rooted = classes.join(parts, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    marked, rooted = _grouped(docs, radius)
     small = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(small, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
@@ -164,14 +169,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns kept, one for each near-duplicate component: that of its smallest
-    doc_id. Of repeated rows with that doc_id the one least by text hash stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    keep = found.groupBy("component_id").agg(F.lit(1).alias("__one")).select(F.col("component_id").alias("__keep"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    counted = kept.groupBy("doc_id").count().where("count > 1")
-    if counted.isEmpty():
-        return kept
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    doc_id, null ids last. Of rows with that doc_id in the component the one least by text hash, then text length, stays;
+    if such rows agree in their whole text, one of them, whichever it be.
+
+    Rows are told apart by their own number, not by doc_id: null ids and texts that share a doc_id each count in the component of
+    their own text. Components meet by partial aggregates, so a group of copies counts once for each task.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    keys = numbered.select("doc_id", F.xxhash64("text").alias("__th"), F.length("text").alias("__size"), "__row", "text")
+    marked, rooted = _grouped(keys, radius, ("doc_id", "__th", "__size", "__row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__th"), F.col("__size"), F.col("__row"))
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("m"))  # one row for each fingerprint before the join
+    kept = firsts.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
+    kept = materialize(kept.select(F.col("m.__row").alias("__row")), "kept")
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)

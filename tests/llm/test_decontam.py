@@ -75,3 +75,12 @@ def test_drop_and_empty_tables(spark):
     assert decontam.contamination(docs, items).count() == 2
     assert decontam.contamination(docs, items.limit(0)).count() == 0
     assert decontam.contamination(docs.limit(0), items).count() == 0
+
+
+def test_drop_spares_other_texts_of_the_same_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, passage), (None, "clean one"), (None, "clean two"), (None, None), (4, f"x {passage}"), (4, "clean four"), (4, "clean four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontam.drop_contaminated(docs, items).collect()), key=str)
+    assert got == sorted([(None, "clean one"), (None, "clean two"), (None, None), (4, "clean four"), (4, "clean four")], key=str)

@@ -92,3 +92,14 @@ def test_empty_table_and_null_ids(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(rows) and all(r.component_id is None for r in got)
+
+
+def test_drop_tells_rows_apart_without_ids(spark):
+    lone = [f"text {i} " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(6)]
+    rows = [(None, t) for t in lone] + [(None, lone[0])]  # null ids: every distinct text stays
+    shared = [" ".join(f"{name}{k}" for k in range(20)) for name in "abc"]
+    rows += [(5, shared[0]), (5, shared[1]), (7, shared[1]), (5, shared[2]), (4, lone[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=str)
+    want = [(None, t) for i, t in enumerate(lone) if i != 1] + [(4, lone[1])] + [(5, t) for t in shared]
+    assert got == sorted(want, key=str)
