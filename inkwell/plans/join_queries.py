@@ -99,6 +99,25 @@ def leakage_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.set_similarity_join(items, items, 0.5).where("a <= b").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text, {_SHINGLES} AS t FROM (SELECT DISTINCT doc_id, text, {_WORDS} AS w FROM documents) WHERE len(w) > 0),
+b AS (SELECT item_id, text AS item, {_SHINGLES} AS t FROM (SELECT DISTINCT item_id, text, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+p AS (SELECT doc_id, text, d.n, item_id, item, b.n AS m, count(*) AS c FROM (SELECT *, len(t) AS n, unnest(t) AS k FROM d) d JOIN (SELECT *, len(t) AS n, unnest(t) AS k FROM b) b USING (k) GROUP BY ALL)
+SELECT doc_id, item_id, round(c / (n + m - c), 9) AS similarity FROM p WHERE c / (n + m - c) >= 0.5""")
+def leakage_jaccard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share most of their word shingles with a benchmark item."""
+    w = similar.once(T.words(F.lower("text"))).alias("w")
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(3)]))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), w)
+    items = table(spark, sf_dir, "benchmark").select("item_id", w)
+    found = similar.set_similarity_to_items(
+        docs.where("size(w) > 0").withColumn("tokens", grams), items.where("size(w) > 0").withColumn("tokens", grams), 0.5)
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 9).alias("similarity"))
+
+
 @query("""
 WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 5""")

@@ -112,3 +112,42 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"x")
     (tmp_path / "sub" / "b.txt").unlink()
     assert sorted(map(tuple, manifest.verify(manifest.snapshot(spark, str(tmp_path)), before).collect())) == [("a.txt", "content differs"), ("c.txt", "unexpected"), ("sub/b.txt", "missing")]
+
+
+@pytest.mark.parametrize("most", [similar.MOST_TOKENS, 0])
+def test_documents_that_nearly_copy_an_item_are_found(spark, tmp_path, most, monkeypatch):
+    import duckdb
+    import pandas as pd
+
+    from inkwell.plans import catalogue
+
+    catalogue.load()
+    rng = random.Random(9)
+    monkeypatch.setattr(similar.set_similarity_to_items, "__defaults__", (most,))
+    items = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=rng.randint(1, 30))) for _ in range(15)] + ["", None, "one two"]
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=rng.randint(0, 40))) for _ in range(40)] + ["", None, "One\tTWO"]
+    for t in items[:15]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts += [t.upper(), " ".join(w), t + " and a few more words", f"{t} " * 2]
+    rows = [(None if i % 3 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    rows += rows[-5:]
+    pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [t for _, t in rows]}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame(list(enumerate(items)), columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    want = []
+    for d, t in set(rows):
+        for i, item in enumerate(items):
+            a, b = grams(t), grams(item)
+            if a and b and len(a & b) / len(a | b) >= 0.5:
+                want.append((d, i, round(len(a & b) / len(a | b), 9)))
+    got = [tuple(r) for r in catalogue.QUERIES["leakage_jaccard_documents"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 30
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    assert sorted(con.sql(catalogue.ORACLE["leakage_jaccard_documents"]).fetchall(), key=str) == sorted(want, key=str)
