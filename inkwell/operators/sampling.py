@@ -68,14 +68,19 @@ def pick_diverse(items: Sequence[tuple[str, Sequence[str]]], n: int, seed: str)
     return out
 
 
-def diverse_sample(rows: DataFrame, by: str, key: str, features: str, n: int, seed: str, pool: int = 500) -> DataFrame:
-    """(by, key, position): a greedy diverse choice in each stratum from its first ``pool`` rows in hash order."""
-    first = quota(rows.select(by, key, features), by, key, seed, F.lit(pool))
+def diverse_sample(rows: DataFrame, by: str, key: str, features: str, n: int, seed: str) -> DataFrame:
+    """(by, key, position): a greedy diverse choice of n in each stratum, among all its rows. Rows of equal features differ in their hash
+    alone, so no more than the first n in hash order of each set of features can be taken; a partial top-n finds those, and a
+    stratum's task holds n rows for each different set of features."""
+    told = rows.select(by, F.col(key).cast("string").alias("__key"), features)
+    order = Window.partitionBy(by, features).orderBy(seeded_hash(seed, F.coalesce("__key", F.lit("None"))), "__key")
+    first = told.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
     def choose(frame):
         import pandas as pd
 
-        got = pick_diverse(list(zip(frame[key].astype(str), frame[features], strict=True)), n, seed)
-        return pd.DataFrame({by: frame[by].iloc[0], key: pd.Series(got, dtype="int64"), "position": pd.Series(range(1, len(got) + 1), dtype="int64")})
+        got = pick_diverse(list(zip(frame["__key"], frame[features], strict=True)), n, seed)
+        taken = pd.array([None if x is None else int(x) for x in got], "Int64")
+        return pd.DataFrame({by: [frame[by].iloc[0]] * len(got), key: taken, "position": pd.Series(range(1, len(got) + 1), dtype="int64")})
 
     return first.groupBy(by).applyInPandas(choose, f"{by} string, {key} long, position long")

@@ -151,3 +151,24 @@ def test_documents_that_nearly_copy_an_item_are_found(spark, tmp_path, most, mon
     for t in ("documents", "benchmark"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     assert sorted(con.sql(catalogue.ORACLE["leakage_jaccard_documents"]).fetchall(), key=str) == sorted(want, key=str)
+
+
+def test_diverse_sample_chooses_among_all_rows(spark):
+    rng = random.Random(11)
+    rows = [("hot", i, [rng.choice(["en", "fr"]), f"len{rng.randrange(3)}"]) for i in range(1500)]
+    by_hash = sorted(rows, key=lambda r: hash_of("s", r[1]))
+    for _, i, features in by_hash[-2:]:  # what is rare stands last in hash order, far beyond 500 rows
+        features[:] = ["vi", f"len{i % 2 + 7}"]
+    rows += [("cold", i, ["en", "len1"]) for i in range(3000, 3003)] + [("cold", None, [None, "len1"])]
+    df = spark.createDataFrame(rows, "source string, doc_id long, features array<string>")
+    got = {}
+    for r in sorted(sampling.diverse_sample(df, "source", "doc_id", "features", 5, "s").collect(), key=lambda r: r.position):
+        got.setdefault(r.source, []).append(str(r.doc_id))
+    assert got == {s: sampling.pick_diverse([(str(i), f) for t, i, f in rows if t == s], 5, "s") for s in ("hot", "cold")}
+    assert {str(i) for _, i, _ in by_hash[-2:]} & set(got["hot"])
+
+
+def hash_of(seed, key):
+    import hashlib
+
+    return hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
