@@ -96,7 +96,9 @@ def training_row(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log-probability matrix) from the training rows of ``docs`` with a language and a text."""
     rows = docs.where(training_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect())
+    counts = dict(rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES + 1).collect())
+    if len(counts) > MOST_LANGUAGES:  # the matrix would not fit; leaving some out would give their documents a wrong language
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     languages = sorted(counts)
     if not languages:
         return [], np.zeros(0), np.zeros((BUCKETS, 0), np.float32)

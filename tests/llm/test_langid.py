@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from inkwell.llm import langid
 
 
@@ -43,3 +45,12 @@ def test_matches_slow_counts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.predict(docs, langid.train(docs)).count() == 0
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words", f"l{i % 3}") for i in range(30)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    assert langid.train(docs)[0] == ["l0", "l1", "l2"]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.train(docs)
