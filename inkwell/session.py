@@ -31,11 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, however its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    found = f"__{name}"
+    while found.lower() in taken:
+        found = "_" + found
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in
-    tests on one machine, a temporary folder that is then set as the checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and everything runs on one
+    machine, as in tests, a temporary folder that is then set as the checkpoint folder. On a cluster it has to be set."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="inkwell-checkpoints-")
         context.setCheckpointDir(found)
@@ -64,6 +75,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing reads it any more."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        for owned in [x for x in _OWNED if path.rstrip("/").endswith(x[1].rpartition("/inkwell-")[2])]:
+            remove_path(*owned)
+            _OWNED.remove(owned)
+
+
 def _remove_all() -> None:
     for spark, path in _OWNED:
         try:
