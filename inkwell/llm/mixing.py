@@ -3,13 +3,14 @@
 Every source has a target number of words. Within a source a document is expected to appear e times:
 ``e = min(CAP, c * preference)``, with c such that expected words meet the target; the preference
 grows slowly with the length class of the document. floor(e) copies are certain. The rest is a
-Pareto order sample: with inclusion probability p = e - floor(e) and a uniform u from the doc_id, documents
+Pareto order sample: with inclusion probability p = e - floor(e) and a uniform u from the document, documents
 are ranked by odds(u) / odds(p), and are taken in that order while their words fit what the source still
-lacks. Documents that fit the small gap that the first one too long leaves are then taken in the same order.
+lacks. Documents that fit the gap that the first one too long leaves are then taken in the same order; where a small source
+has no more of them, documents get further copies up to CAP, again in an order drawn at random.
 
 No source is gathered in one task. The rank is a number v in [0, 1): words are summed by 1,024ths of its range
 first, then by 1,024ths of the one range in which the target falls, and only the rows of that last range,
-about a millionth of the source, are sorted. Equal ranks (a repeated doc_id) are taken or left together.
+about a millionth of the source, are sorted.
 """
 
 from __future__ import annotations
@@ -18,22 +19,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.native_text import broadcast_if_small, word_count
+from inkwell.operators.ranks import number_rows
 from inkwell.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
+ZONES = 1 + int(CAP)  # of ranks: Pareto draws, then further copies
+PASSES = 3
 BINS = 1024
 SMALL_ROWS = 200_000
 
 
-def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select(
-        "*",
-        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")).alias("__s"),
-        word_count(F.col("text")).alias("__size"),
-        ((F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)).alias("__u"),
-    )
+def _stored(docs: DataFrame, seed: str, whole: bool) -> DataFrame:
+    """What the plan reads of each row, stored once: __s, __size, __key (a digest of all that its draw depends on), __row, and the row
+    itself (``whole``) or its doc_id as the struct ``doc``."""
+    told = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else ["doc_id"])]).alias("doc"), F.col("doc_id").cast("string").alias("i"),
+        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")).alias("__s"), F.col("text").alias("t"))
+    return materialize(told.select(
+        "doc", "__s", word_count(F.col("t")).alias("__size"),
+        F.md5(F.concat_ws("/", F.lit(seed), F.coalesce("i", F.lit("")), "__s", F.coalesce("t", F.lit("")))).alias("__key"),
+        F.monotonically_increasing_id().alias("__row")), "sizes")
+
+
+def _drawn(stored: DataFrame) -> DataFrame:
+    """``stored`` with __u in (0, 1). Rows that repeat each other wholly are numbered, so that each has a draw of its own: the rows of the
+    partitions before, by counts, then those before it in its own partition."""
+    h = F.xxhash64("__key")
+    again = materialize(stored.groupBy(h.alias("h")).count().where("count > 1").select("h"), "repeats")
+    number = F.lit(0)
+    if not again.isEmpty():
+        part = F.shiftright("__row", 33).alias("part")
+        rows = stored.select(h.alias("h"), "__row", part).join(broadcast_if_small(again, SMALL_ROWS), "h")
+        rows = materialize(rows.withColumn("at", F.row_number().over(Window.partitionBy("h", "part").orderBy("__row")) - 1), "repeats")
+        before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = rows.groupBy("h", "part").count().select("h", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+        numbers = materialize(rows.join(bases, ["h", "part"]).select("__row", (F.col("base") + F.col("at")).alias("number")), "repeats")
+        stored = stored.join(broadcast_if_small(numbers, SMALL_ROWS), "__row", "left")
+        number = F.coalesce("number", F.lit(0))
+    digest = F.md5(F.concat_ws("/", "__key", number.cast("string")))
+    return stored.withColumn("__u", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48))
 
 
 def _level(size: Column) -> Column:
@@ -43,23 +68,20 @@ def _level(size: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """(__s, source_size, target) from (__s, source_size): the sources by code point, null last, weigh
     ``weights`` in turn and share the sum of all sizes; no target is above ``cap`` times its source's size and the excess
-    goes to the others by weight. One row for each source is sorted in one task."""
-    order = Window.orderBy(F.substring("__s", 1, 1).desc(), "__s")
-    turn = (F.row_number().over(order) - 1) % len(weights)
+    goes to the others by weight. The share is raised until no further source reaches its cap; each step is one aggregate."""
+    turn = F.col("place") % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))
-    told = sizes.withColumn("w", weight).withColumn("top", F.col("source_size") * cap)
-    whole = Window.partitionBy(F.lit(1))
-    filled = Window.partitionBy(F.lit(1)).orderBy(F.col("top") / F.col("w"), "__s")
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    told = told.withColumns({
-        "share": (F.sum("source_size").over(whole) - F.coalesce(F.sum("top").over(before), F.lit(0.0)))
-        / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))),
-    })
-    free = F.min(F.when(F.col("top") / F.col("w") > F.col("share"), F.struct(F.col("top") / F.col("w"), "__s", "share")))
-    told = told.withColumn("level", free.over(whole)["share"])
-    return told.select(
-        "__s", "source_size", F.least("top", F.coalesce(F.col("w") * F.col("level"), F.col("top"))).alias("target")
-    )
+    told = number_rows(sizes, F.substring("__s", 1, 1).desc(), "__s", name="place")
+    told = materialize(told.select("__s", "source_size", weight.alias("w"), (F.col("source_size") * cap).alias("top")), "weights")
+    share = -1.0
+    while True:
+        full = F.col("top") / F.col("w") < share
+        rest, spare = told.agg(
+            F.sum("source_size") - F.coalesce(F.sum(F.when(full, F.col("top"))), F.lit(0.0)), F.sum(F.when(~full, F.col("w")))).first()
+        if not spare or rest / spare <= share:
+            break
+        share = rest / spare
+    return told.select("__s", "source_size", F.least("top", F.col("w") * share if share >= 0 else F.col("top")).alias("target"))
 
 
 def _rates(classes: DataFrame, cap: float = CAP) -> DataFrame:
@@ -70,7 +92,7 @@ def _rates(classes: DataFrame, cap: float = CAP) -> DataFrame:
     told = classes.withColumn("p", F.lit(1.0) + F.col("__l") / 16)
     told = told.withColumn(
         "c", (F.col("target") - cap * F.coalesce(F.sum("words").over(before), F.lit(0)))
-        / F.sum(F.col("p") * F.col("words")).over(after),
+        / F.nullif(F.sum(F.col("p") * F.col("words")).over(after), F.lit(0)),
     )
     free = F.min(F.when(F.col("c") * F.col("p") < cap, F.struct((-F.col("__l")).alias("l"), "c")))
     told = told.withColumn("c", free.over(Window.partitionBy("__s"))["c"])
@@ -80,15 +102,17 @@ def _rates(classes: DataFrame, cap: float = CAP) -> DataFrame:
     )
 
 
-def _ranked(sized: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds each row's certain copies and its Pareto rank (null where nothing is left to draw)."""
-    joined = sized.withColumn("__l", _level(F.col("__size"))).join(rates, ["__s", "__l"])
+def _units(drawn: DataFrame, rates: DataFrame) -> DataFrame:
+    """Adds __whole, each row's certain copies, and __units, the ranks in [0, 1) of the further ones that it may have: first the
+    Pareto draw, then, one more each, those up to CAP, whose ranks come after all draws of that kind."""
+    joined = drawn.withColumn("__l", _level(F.col("__size"))).join(rates, ["__s", "__l"])
     whole = F.floor("e")
     p = F.col("e") - whole
     odds = F.col("__u") / (1 - F.col("__u")) * ((1 - p) / p)
-    return joined.withColumn("__whole", whole).withColumn(
-        "__v", F.when((p > 0) & (F.col("__size") > 0), odds / (1 + odds))
-    )
+    first = F.when(p > 0, odds / (1 + odds) / ZONES)
+    more = [F.when(whole + (p > 0).cast("int") + z <= CAP, (z + F.col("__u")) / ZONES) for z in range(1, ZONES)]
+    units = F.when(F.col("__size") > 0, F.array_compact(F.array(first, *more))).otherwise(F.array().cast("array<double>"))
+    return joined.withColumn("__whole", whole).withColumn("__units", units)
 
 
 def _cut(ranked: DataFrame, budget: DataFrame) -> DataFrame:
@@ -136,45 +160,54 @@ def _cut(ranked: DataFrame, budget: DataFrame) -> DataFrame:
         ), "cut")
 
 
-def plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` with __size, source_size, target and __copies (0 to 3).
+def plan(docs: DataFrame, seed: str = "mix", whole: bool = True) -> DataFrame:
+    """(doc, __size, source_size, target, __copies): every row of ``docs`` as a struct (only its doc_id unless ``whole``), its words, and how
+    often the mix takes it, 0 to 3.
+
+    A null or empty text has size 0 and no effect; a source of such texts alone has target 0. A null source is a source of its own, the
+    last. The draw depends on doc_id (null counts as empty), source, text and the seed, so reruns agree; rows that repeat each other
+    in all of them are numbered and have a draw each. An empty table gives no rows. Other columns may have any name.
 
-    A null or empty text has size 0 and no effect. A null source is a source of its own, the last.
-    The draw depends on doc_id and the seed alone, so reruns agree; rows that repeat a doc_id share their
-    draw, and a null doc_id counts as the empty string. An empty table gives no rows. Further columns are
-    kept; names that begin with two underscores are reserved.
+    A source ends within its target by less than its smallest document that could still be taken, as far as PASSES passes reach:
+    each fills what the one before left with the documents that fit it.
     """
-    light = materialize(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    stored = _stored(docs, seed, whole)
+    light = _drawn(stored)
     classes = materialize(
-        light.groupBy("__s", _level(F.col("__size")).alias("__l")).agg(F.sum("__size").alias("words")), "classes")
+        stored.groupBy("__s", _level(F.col("__size")).alias("__l")).agg(F.sum("__size").alias("words")), "classes")
     sizes = classes.groupBy("__s").agg(F.sum("words").alias("source_size"))
     rates = materialize(_rates(classes.join(source_targets(sizes), "__s")), "rates")
-    small = broadcast_if_small(rates, SMALL_ROWS)
-    ranked = _ranked(light, small)
-    left = materialize(
+    ranked = _units(light, broadcast_if_small(rates, SMALL_ROWS))
+    told = materialize(
         classes.join(rates, ["__s", "__l"]).groupBy("__s").agg(
-            F.round(F.max("target") - F.sum(F.floor("e") * F.col("words"))).cast("long").alias("budget")),
-        "budget")
-    drawn = ranked.where("__v is not null")
-    one = _cut(drawn.select("__s", F.col("__v").alias("v"), F.col("__size").alias("words")), left)
-    gap = left.join(one, "__s").select("__s", (F.col("budget") - F.col("got")).alias("budget"), "edge", "cut")
-    gap = materialize(gap, "gap")
-    spare = drawn.join(broadcast_if_small(gap, SMALL_ROWS), "__s").where(
-        ~((F.col("__v") < F.col("edge")) | (F.col("__v") <= F.col("cut"))) & (F.col("__size") <= F.col("budget")))
-    two = _cut(spare.select("__s", F.col("__v").alias("v"), F.col("__size").alias("words")), gap.select("__s", "budget"))
-    cuts = materialize(
-        gap.select("__s", F.col("budget").alias("gap"), "edge", "cut")
-        .join(two.select("__s", F.col("edge").alias("edge2"), F.col("cut").alias("cut2")), "__s", "left"), "cuts")
-    full = _ranked(_sized(docs, seed), small).join(broadcast_if_small(cuts, SMALL_ROWS), "__s", "left")
-    taken = (F.col("__v") < F.col("edge")) | (F.col("__v") <= F.col("cut")) | (
-        (F.col("__size") <= F.col("gap")) & ((F.col("__v") < F.col("edge2")) | (F.col("__v") <= F.col("cut2"))))
-    return full.withColumn("__copies", (F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("int")).cast("int"))
+            F.round(F.max("target") - F.sum(F.floor("e") * F.col("words"))).cast("long").alias("gap0")),
+        "gaps")
+
+    def taken(unit: Column, n: int) -> Column:
+        """Whether one of the first n passes takes the unit."""
+        found = F.lit(False)
+        for k in range(n):
+            fits = (unit < F.col(f"edge{k}")) | (unit <= F.col(f"cut{k}"))
+            found = found | F.coalesce(fits & (F.col("__size") <= F.col(f"gap{k}")) if k else fits, F.lit(False))
+        return found
+
+    for n in range(PASSES):
+        units = ranked.select("__s", "__size", F.explode("__units").alias("v"))
+        if n:
+            units = units.join(broadcast_if_small(told, SMALL_ROWS), "__s").where(~taken(F.col("v"), n) & (F.col("__size") <= F.col(f"gap{n}")))
+        cut = _cut(units.select("__s", "v", F.col("__size").alias("words")), told.select("__s", F.col(f"gap{n}").alias("budget")))
+        cut = cut.select("__s", F.col("edge").alias(f"edge{n}"), F.col("cut").alias(f"cut{n}"), F.col("got"))
+        told = materialize(told.join(cut, "__s", "left").withColumn(
+            f"gap{n + 1}", F.col(f"gap{n}") - F.coalesce("got", F.lit(0))).drop("got"), "gaps")
+    full = ranked.join(broadcast_if_small(told, SMALL_ROWS), "__s")
+    copies = F.col("__whole") + F.size(F.filter("__units", lambda unit: taken(unit, PASSES)))
+    return full.select("doc", "__size", "source_size", "target", copies.cast("int").alias("__copies"))
 
 
 def mixed_counts(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for every row of ``docs``."""
-    return plan(docs.select("doc_id", "source", "text")).select(
-        "doc_id", F.col("__size").alias("size"), "source_size", "target",
+    return plan(docs.select("doc_id", "source", "text"), whole=False).select(
+        F.col("doc.doc_id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target",
         (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"),
     )
 
@@ -183,16 +216,20 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged. Documents
     without words have nothing to weigh and stay once."""
     copies = F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies"))
-    repeated = plan(docs).withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = plan(docs).select("doc", F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 MIX_SQL = r"""
-WITH sized AS (
+WITH keyed AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS s,
     COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('mix' || COALESCE(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+    md5('mix/' || COALESCE(doc_id::VARCHAR, '') || '/' || CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END || '/' || COALESCE(text, '')) AS key
   FROM documents),
+sized AS (
+  SELECT *, row_number() OVER () AS rn,
+    (('0x' || substr(md5(key || '/' || (row_number() OVER (PARTITION BY key) - 1)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM keyed),
 classes AS (SELECT s, length(bin(size)) AS l, SUM(size)::BIGINT AS words FROM sized GROUP BY ALL),
 sizes AS (SELECT s, SUM(words)::BIGINT AS source_size FROM classes GROUP BY s),
 weighed AS (
@@ -217,17 +254,19 @@ rates AS (
 budget AS (SELECT s, round(MAX(target) - SUM(floor(e) * words))::BIGINT AS budget FROM rates GROUP BY s),
 odds AS (
   SELECT d.*, r.source_size, r.target, floor(e) AS whole, e - floor(e) AS p,
-    CASE WHEN e - floor(e) > 0 AND size > 0 THEN u / (1 - u) * ((1 - (e - floor(e))) / (e - floor(e))) END AS q
+    CASE WHEN e - floor(e) > 0 THEN u / (1 - u) * ((1 - (e - floor(e))) / (e - floor(e))) END AS q
   FROM sized d JOIN rates r ON d.s = r.s AND length(bin(d.size)) = r.l),
-ranked AS (SELECT *, q / (1 + q) AS v FROM odds),
-one AS (
-  SELECT ranked.*, budget, v IS NOT NULL AND SUM(CASE WHEN v IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY s ORDER BY v NULLS LAST) <= budget AS got
-  FROM ranked JOIN budget USING (s)),
-two AS (
-  SELECT *, budget - SUM(CASE WHEN got THEN size ELSE 0 END) OVER (PARTITION BY s) AS gap FROM one),
+units AS (
+  SELECT rn, s, size, q / (1 + q) / 4 AS v FROM odds WHERE p > 0 AND size > 0 UNION ALL
+  SELECT rn, s, size, (z + u) / 4 FROM odds, range(1, 4) AS t(z) WHERE size > 0 AND whole + (p > 0)::INT + z <= 3),
+one AS (SELECT units.*, budget, SUM(size) OVER (PARTITION BY units.s ORDER BY v) <= budget AS got FROM units JOIN budget USING (s)),
+two AS (SELECT *, budget - COALESCE(SUM(size) FILTER (WHERE got) OVER (PARTITION BY s), 0) AS gap FROM one),
 three AS (
-  SELECT *, v IS NOT NULL AND NOT got AND size <= gap AND
-    SUM(CASE WHEN v IS NOT NULL AND NOT got AND size <= gap THEN size ELSE 0 END) OVER (PARTITION BY s ORDER BY v NULLS LAST) <= gap AS more
-  FROM two)
-SELECT doc_id, size, source_size, target, (size * (whole + (got OR more)::INT))::BIGINT AS taken, (whole + (got OR more)::INT)::INT AS copies FROM three
+  SELECT *, got OR (size <= gap AND SUM(size) FILTER (WHERE NOT got AND size <= gap) OVER (PARTITION BY s ORDER BY v) <= gap) AS got2 FROM two),
+four AS (SELECT *, budget - COALESCE(SUM(size) FILTER (WHERE got2) OVER (PARTITION BY s), 0) AS gap2 FROM three),
+five AS (
+  SELECT *, got2 OR (size <= gap2 AND SUM(size) FILTER (WHERE NOT got2 AND size <= gap2) OVER (PARTITION BY s ORDER BY v) <= gap2) AS got3 FROM four),
+more AS (SELECT rn, count(*) FILTER (WHERE got3) AS more FROM five GROUP BY rn)
+SELECT doc_id, size, source_size, target, (size * (whole + COALESCE(more, 0)))::BIGINT AS taken, (whole + COALESCE(more, 0))::INT AS copies
+FROM odds LEFT JOIN more USING (rn)
 """

@@ -67,10 +67,24 @@ def test_matches_sql(spark):
     assert [(a[0], a[1], a[4], a[5]) for a in got] == [(b[0], b[1], b[4], b[5]) for b in want]
 
 
-def test_repeated_rows_share_their_fate(spark):
-    rows = [(1, "a b c", "s", "", 0, "")] * 5 + [(2, "a b", "t", "", 0, ""), (None, "q", None, "", 0, "")]
+def test_repeated_rows_have_draws_of_their_own(spark):
+    rows = [(None, "a b c", "s", "", 0, "")] * 200 + [(2, "a b " * 300, "t", "", 0, ""), (None, "q", None, "", 0, "")]
     got = counted(spark, rows)
-    assert len(got) == 7 and len({r["taken"] for r in got if r["doc_id"] == 1}) == 1
+    taken = sum(r["taken"] for r in got if r["source_size"] == 600)
+    target = next(r["target"] for r in got if r["source_size"] == 600)
+    assert len(got) == 202 and abs(taken - target) < 3  # not a multiple of 600
+
+
+def test_sources_of_empty_texts_alone(spark):
+    rows = [(1, "a b c", "s", "", 0, ""), (2, "", "t", "", 0, ""), (3, None, "t", "", 0, ""), (4, None, "u", "", 0, "")]
+    got = {r["doc_id"]: (r["size"], r["taken"], r["target"]) for r in counted(spark, rows)}
+    assert got == {1: (3, 3, 3.0), 2: (0, 0, 0.0), 3: (0, 0, 0.0), 4: (0, 0, 0.0)}
+    assert sorted(r.doc_id for r in mixing.mix(spark.createDataFrame(rows, TEXTS)).collect()) == [1, 2, 3, 4]
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8, "x", "y")], "doc_id long, text string, source string, __size int, __row int, `a.b` string, doc string")
+    assert [tuple(r) for r in mixing.mix(docs).collect()] == [(1, "a b", "s", 7, 8, "x", "y")]
 
 
 def test_mix_repeats_rows_and_keeps_columns(spark):
