@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.graph import components
-from inkwell.session import materialize
+from inkwell.session import fresh, materialize
 
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
@@ -173,13 +173,15 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     if such rows agree in their whole text, one of them, whichever it be.
 
     Rows are told apart by their own number, not by doc_id: null ids and texts that share a doc_id each count in the component of
-    their own text. Components meet by partial aggregates, so a group of copies counts once for each task.
+    their own text. Null and empty texts are one component, so one of them stays. An empty table gives no rows; columns may have any name.
+    Components meet by partial aggregates, so a group of copies counts once for each task.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    keys = numbered.select("doc_id", F.xxhash64("text").alias("__th"), F.length("text").alias("__size"), "__row", "text")
-    marked, rooted = _grouped(keys, radius, ("doc_id", "__th", "__size", "__row"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__th"), F.col("__size"), F.col("__row"))
+    row, th, size = (fresh(docs, x) for x in ("row", "th", "size"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keys = numbered.select("doc_id", F.xxhash64("text").alias(th), F.length("text").alias(size), row, "text")
+    marked, rooted = _grouped(keys, radius, ("doc_id", th, size, row))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(th), F.col(size), F.col(row).alias("row"))
     firsts = marked.groupBy("fp").agg(F.min(order).alias("m"))  # one row for each fingerprint before the join
     kept = firsts.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
-    kept = materialize(kept.select(F.col("m.__row").alias("__row")), "kept")
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = materialize(kept.select(F.col("m.row").alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -81,10 +81,10 @@ def test_near_duplicates_match_brute_force(spark):
 
 def test_drop_keeps_one_of_each(spark):
     rows = [(3, "one two three four"), (1, "One two three four"), (2, "other words stand here"), (2, "other words stand here"), (9, None), (8, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit(7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit(7)).withColumn("__TH", F.lit("x")).withColumn("__keep", F.lit(1))
     got = simhash.drop_near_duplicates(docs)
     assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 8]
+    assert sorted((r.doc_id, r["__row"]) for r in got.collect()) == [(1, 7), (2, 7), (8, 7)]
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "a b c d"), (None, "a b c d")]])
