@@ -11,7 +11,8 @@ Jaccard similarity of their shingles, each weighing its number of occurrences, i
 2. Each such window gets a 64-bit SimHash of its shingles; its bits are counted in lanes of a few longs.
 3. Windows meet items of their size in a multi-index of eight 8-bit blocks: within ``RADIUS`` = 23 bits some block
    differs in at most two, so every fingerprint within the radius meets. A window of similarity 0.8 is about 10
-   bits from its item; it lies beyond 23 with a probability under one in 100,000.
+   bits from its item; it lies beyond 23 with a probability under one in 100,000. That holds for windows of as many distinct shingles as
+   their item; others (repeated shingles, documents shorter than the item) meet items by a common shingle instead.
 4. The exact weighted similarity decides.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.native_text import words
-from inkwell.session import materialize
+from inkwell.session import fresh, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -79,7 +80,10 @@ def items_table(benchmark: DataFrame) -> DataFrame:
     told = benchmark.select("item_id", words(F.lower("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     told = told.withColumn("k", F.least(F.col("n"), F.lit(SHINGLE)))
     told = materialize(told.select("item_id", "n", "k", _hashes_by_k(F.col("w"), F.col("k")).alias("ish")).distinct(), "items")
-    one = told.withColumn("t", F.hash("ish"))
+    longest = told.agg(F.max("n")).first()[0] or 0
+    if longest >= 1 << LANE:  # a counting lane would overflow into the next
+        raise ValueError(f"a benchmark item has {longest} words; fewer than {1 << LANE} can be counted")
+    one = told.withColumn("t", F.xxhash64("ish"))
     fps = simhash(one.select(F.col("item_id").alias("i"), F.col("t").alias("j"), F.explode("ish").alias("h")), ["i", "j"])
     return materialize(
         one.join(fps, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("j"))).select("item_id", "n", "k", "ish", "fp"),
@@ -165,7 +169,15 @@ def _similar_windows(docs: DataFrame, benchmark: DataFrame, threshold: float, mo
     ).select(*keys, "fp", "e.b", "e.v")
     x = F.col("fp").bitwiseXOR(F.col("ifp"))
     first = F.coalesce(*[F.when(F.bit_count(_block(x, b)) <= RADIUS // BLOCKS, F.lit(b)) for b in range(BLOCKS)])
-    pairs = keyed.join(index, ["n", "b", "v"]).where((F.bit_count(x) <= RADIUS) & (first == F.col("b"))).select(*keys, "item_id")
+    near = keyed.join(index, ["n", "b", "v"]).where((F.bit_count(x) <= RADIUS) & (first == F.col("b"))).select(*keys, "item_id")
+    # The radius suits windows of as many distinct shingles as their item. Where shingles repeat, or a document is shorter than the
+    # item, bits lie further apart at the same similarity, so those meet by the shingle that they share.
+    plain = lambda sh: F.size(F.array_distinct(sh)) == F.size(sh)
+    odd = ~plain("sh") | (F.size("sh") < F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1)
+    spread = windows.select(*keys, odd.alias("odd"), F.explode(F.array_distinct("sh")).alias("h"))
+    by_shingle = items.select("item_id", F.col("n"), (~plain("ish")).alias("i_odd"), F.explode(F.array_distinct("ish")).alias("h"))
+    met = spread.join(by_shingle, ["n", "h"]).where(F.col("odd") | F.col("i_odd")).select(*keys, "item_id")
+    pairs = near.union(met).distinct()
     pairs = pairs.select(*[F.col(c).alias(f"p_{c}") for c in keys], F.col("item_id").alias("p_item"))
     told = windows.join(pairs, windows["doc_id"].eqNullSafe(F.col("p_doc_id")) & (windows["th"] == F.col("p_th"))
                         & (windows["n"] == F.col("p_n")) & (windows["s"] == F.col("p_s")))
@@ -199,12 +211,14 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no similar window of any benchmark item. Rows are told apart by doc_id and the text's hash, so
-    a contaminated row takes no other text with it, whether they share a doc_id or have none."""
+    a contaminated row takes no other text with it, whether they share a doc_id or have none; rows that repeat each other go or
+    stay together. Null and empty texts stay. An empty table gives no rows; columns may have any name."""
     told = _similar_windows(docs, benchmark, THRESHOLD, MOST_WANTED)
     if told is None:
         return docs
-    bad = materialize(told.select(F.col("doc_id").alias("__bad"), F.col("th").alias("__bad_th")).distinct(), "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__bad_th")), "left_anti")
+    bad, th = fresh(docs, "bad"), fresh(docs, "bad_th")
+    found = materialize(told.select(F.col("doc_id").alias(bad), F.col("th").alias(th)).distinct(), "bad")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(bad)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")
 
 
 CONTAMINATION_SQL = r"""

@@ -39,7 +39,7 @@ def test_matches_brute_force(spark, most_wanted):
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(15, 70)))) for i in range(12)]
     items += [(50, "one two three"), (51, "a b " * 20), (52, None), (53, "  "), (54, "single"), (55, items[0][1])]
     docs = []
-    for d in range(90):
+    for d in range(120):
         w = rng.choices(vocabulary, k=rng.randint(0, 150))
         if d % 2:
             part = rng.choice(items[:12])[1].split()
@@ -48,7 +48,9 @@ def test_matches_brute_force(spark, most_wanted):
             w += part[d % 4 :] + rng.choices(vocabulary, k=rng.randint(0, 30))
         docs.append((d, " ".join(w).upper() if d % 5 == 0 else "\n".join(w)))
     docs += [(1100, None), (1101, ""), (1102, "one  two\tTHREE"), (1103, "b a " * 300), (1104, "z " * 1500 + items[3][1]),
-             (1105, " ".join(items[2][1].split()[1:])), (1106, "x single y")]
+             (1105, " ".join(items[2][1].split()[1:])), (1106, "x single y"),
+             (1107, "u " + "p q " * 5 + "p r"), (1108, "n1 n2 n3 n4 n5 n6 n7 n8")]
+    items += [(56, "p q " * 6), (57, "n1 n2 n3 n4 n5 n6 n7 n8 n9")]
     got = decontam.contamination(
         spark.createDataFrame([(*r, 1, "h") for r in docs], "doc_id long, text string, n int, h string"),
         spark.createDataFrame([(*r, 2.0) for r in items], "item_id long, text string, similarity double"),
@@ -77,6 +79,15 @@ def test_drop_and_empty_tables(spark):
     assert decontam.contamination(docs.limit(0), items).count() == 0
 
 
+def test_clashing_columns_and_long_items(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "g", 3, 4)], "doc_id long, text string, __bad int, __BAD_TH int")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.drop_contaminated(docs, items).collect()] == [(2, "g", 3, 4)]
+    monkeypatch.setattr(decontam, "LANE", 2)
+    with pytest.raises(ValueError, match="has 6 words"):
+        decontam.items_table(items)
+
+
 def test_drop_spares_other_texts_of_the_same_id(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(None, passage), (None, "clean one"), (None, "clean two"), (None, None), (4, f"x {passage}"), (4, "clean four"), (4, "clean four")]
