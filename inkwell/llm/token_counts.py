@@ -8,8 +8,9 @@ The second is compiled from the merge list while it runs, as regular-expression
 prefix end with some token; a sequence of tokens is the encoding of its bytes exactly if every two neighbours
 are. So what the future needs to know of a prefix is, for every suffix that begins some vocabulary entry: its node in
 the vocabulary's trie, the last token before it, and how many tokens there were up to it relative to now. That tuple is the
-state; all pre-tokens of a slice of text step through the transition table together, one byte at a time. The table is emptied
-beyond ``MOST_STATES`` states.
+state; all pre-tokens of a slice of text step through the transition table together, one byte at a time. A long pre-token is cut into chunks
+that step together, from the states that they may begin with; their state maps, which carry token counts, are composed by a
+parallel prefix scan. The table is emptied when it holds about ``MOST_BYTES``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ from inkwell.llm.bytewords import slices_of
 from inkwell.llm.pretoken import pretokens
 
 LIMIT = 1024
-MOST_STATES = 3_000_000
+#: About what a worker's states and transitions may take before they are dropped and compiled anew.
+MOST_BYTES = 192 << 20
+LONG = 2048  # bytes; longer pre-tokens are counted in chunks
+CHUNK = 512
+_ROUNDS = 32
 _MACHINES: dict[str, Transducer] = {}
 
 
@@ -64,10 +69,11 @@ class Transducer:
                     self.grows.append(False)
                 node = after
             self.token[node] = i
-        self.fits_known: dict[tuple[int, int], bool] = {}
         self.forget()
 
     def forget(self) -> None:
+        self.fits_known: dict[tuple[int, int], bool] = {}
+        self.held = 0
         self.states: list[tuple] = [((0, -1, 0),)]
         self.number = {self.states[0]: 0}
         self.used = 0
@@ -77,7 +83,7 @@ class Transducer:
         self.mask, self.shift = size - 1, np.uint64(64 - (size.bit_length() - 1))
         self.keys = np.full(size, -1, np.int64)
         self.next = np.zeros(size, np.int32)
-        self.delta = np.zeros(size, np.int8)
+        self.delta = np.zeros(size, np.int16)
 
     def encode(self, data: bytes) -> list[int]:
         """Merge by rank, the leftmost first: the definition that the transducer is compiled from."""
@@ -94,11 +100,10 @@ class Transducer:
         """Whether the two tokens (or, with before -1, the one) are the encoding of their bytes."""
         known = self.fits_known.get((before, token))
         if known is None:
-            if len(self.fits_known) > MOST_STATES:
-                self.fits_known.clear()
             data = self.bytes_of[token]
             known = self.encode(data) == [token] if before < 0 else self.encode(self.bytes_of[before] + data) == [before, token]
             self.fits_known[before, token] = known
+            self.held += 200
         return known
 
     def _compile(self, state: int, byte: int) -> tuple[int, int]:
@@ -119,6 +124,7 @@ class Transducer:
         if number is None:
             number = self.number[new] = len(self.states)
             self.states.append(new)
+            self.held += 250 + 160 * len(new)  # tuples and integers
         return number, at + 1
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -160,26 +166,92 @@ class Transducer:
             slot[todo] = (slot[todo] + 1) & self.mask
         self.used += len(keys)
 
+    def _step(self, state: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one byte each, and the tokens that it adds."""
+        keys = state << 8 | data
+        places = self._find(keys)
+        missing = places < 0
+        if missing.any():
+            new = np.unique(keys[missing])
+            made = [self._compile(key >> 8, key & 255) for key in new.tolist()]
+            self._insert(new, np.array([x for x, _ in made], np.int32), np.array([d for _, d in made], np.int16))
+            places = self._find(keys)
+        return self.next[places].astype(np.int64), self.delta[places]
+
+    def _walk(self, state: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after all bytes of each row of ``columns``, and the tokens that they add."""
+        total = np.zeros(len(state), np.int64)
+        for data in columns.T:
+            state, delta = self._step(state, data)
+            total += delta
+        return state, total
+
+    def _count_long(self, data: np.ndarray) -> int:
+        """The number of tokens of one long pre-token."""
+        rows = len(data) // CHUNK
+        grid = data[: rows * CHUNK].reshape(rows, CHUNK)
+        # A chunk may begin with what the end of the one before gives a fresh state, and with whatever the maps found so far end in.
+        state, _ = self._walk(np.zeros(rows - 1, np.int64), grid[:-1, -64:])
+        chunk, state = np.arange(rows), np.concatenate((np.zeros(1, np.int64), state))
+        maps: dict[tuple[int, int], tuple[int, int]] = {}
+        for _ in range(_ROUNDS):
+            ends, counts = self._walk(state, grid[chunk])
+            maps |= zip(zip(chunk.tolist(), state.tolist(), strict=True), zip(ends.tolist(), counts.tolist(), strict=True), strict=True)
+            new = {(c + 1, e) for c, e in zip(chunk.tolist(), ends.tolist(), strict=True) if c + 1 < rows} - maps.keys()
+            if not new:
+                state, total = self._compose(maps, rows)
+                break
+            chunk, state = (np.array(x, np.int64) for x in zip(*sorted(new), strict=True))
+        else:  # states that never meet: on from chunk to chunk
+            state, total = 0, 0
+            for c in range(rows):
+                if (c, state) in maps:
+                    state, n = maps[c, state]
+                else:
+                    ends, counts = self._walk(np.array([state]), grid[c : c + 1])
+                    state, n = int(ends[0]), int(counts[0])
+                total += n
+        _, last = self._walk(np.array([state], np.int64), data[None, rows * CHUNK :])
+        return total + int(last[0])
+
+    @staticmethod
+    def _compose(maps: dict[tuple[int, int], tuple[int, int]], rows: int) -> tuple[int, int]:
+        """The state and count after all chunks from state 0, by a prefix scan over the chunks' state maps."""
+        places: list[dict[int, int]] = [{} for _ in range(rows + 1)]
+        for c, s in sorted(maps):
+            places[c][s] = len(places[c])
+        for (c, _), (end, _) in maps.items():
+            if c == rows - 1:
+                places[rows].setdefault(end, len(places[rows]))
+        width = max(map(len, places))
+        to, add = np.zeros((rows, width), np.int64), np.zeros((rows, width), np.int64)
+        for (c, s), (end, n) in maps.items():
+            to[c, places[c][s]], add[c, places[c][s]] = places[c + 1][end], n
+        hop = 1
+        while hop < rows:
+            through = np.take_along_axis(to[hop:], to[:-hop], axis=1)
+            add = np.concatenate((add[:hop], add[:-hop] + np.take_along_axis(add[hop:], to[:-hop], axis=1)))
+            to = np.concatenate((to[:hop], through))
+            hop *= 2
+        first = places[0][0]
+        return list(places[rows])[to[-1, first]], int(add[-1, first])
+
     def count(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of tokens of each pre-token."""
-        if len(self.states) > MOST_STATES:
+        if self.held + 14 * len(self.keys) > MOST_BYTES:
             self.forget()
-        order = np.argsort(-sizes, kind="stable")
+        out = np.zeros(len(sizes), np.int64)
+        long = sizes > LONG
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self._count_long(buffer[starts[i] : starts[i] + sizes[i]])
+        short = np.flatnonzero(~long)
+        order = short[np.argsort(-sizes[short], kind="stable")]
         at, sizes = starts[order], sizes[order]
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
+        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
         for k, m in enumerate(live.tolist()):
-            keys = state[:m] << 8 | buffer[at[:m] + k]
-            places = self._find(keys)
-            missing = places < 0
-            if missing.any():
-                new = np.unique(keys[missing])
-                made = [self._compile(key >> 8, key & 255) for key in new.tolist()]
-                self._insert(new, np.array([x for x, _ in made], np.int32), np.array([d for _, d in made], np.int8))
-                places = self._find(keys)
-            state[:m] = self.next[places]
-            total[:m] += self.delta[places]
-        out = np.empty_like(total)
+            state[:m], delta = self._step(state[:m], buffer[at[:m] + k])
+            total[:m] += delta
         out[order] = total
         return out
 

@@ -2,6 +2,7 @@ import random
 
 from tokenizers import Tokenizer
 
+from inkwell.llm import token_counts as token_counts_module
 from inkwell.llm.encoder import vocabulary_path
 from inkwell.llm.token_counts import Transducer, token_counts
 
@@ -23,6 +24,24 @@ def test_equals_the_library():
         assert machine.count_texts([t.encode() for t in part]).tolist() == library(part)
 
 
+def test_long_pretokens_are_counted_in_chunks():
+    rng = random.Random(6)
+    parts = ["th", "er", "ing", "e", "s", "tion", "an", "q", "zz", "é", "tttt", "aaaaaaaa"]
+    texts = ["a" * 4097, "ab" * 5000, "=" * 9999, "".join(rng.choices(parts, k=9000)), "x" + "".join(rng.choices("acgt", k=1 << 20)), "-" * 3000 + "word " + "é" * 2500]
+    machine = Transducer(PATH)
+    assert machine.count_texts([t.encode() for t in texts]).tolist() == library(texts)
+
+
+def test_states_are_dropped_beyond_the_bound(monkeypatch):
+    machine = Transducer(PATH)
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=400)) for i in range(60)]
+    monkeypatch.setattr(token_counts_module, "MOST_BYTES", 1 << 20)
+    got = []
+    for t in texts:
+        got += machine.count_texts([t.encode()]).tolist()
+    assert got == library(texts) and machine.held < 4 << 20
+
+
 def test_rows(spark):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(90, None, 1), (2, TEXTS[2], 1), (None, "w " * 3000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
