@@ -1,10 +1,10 @@
 """WARC writing with revisit resolution, and reading back.
 
-Only headers are grouped: (digest, size) of every payload, from which a partial aggregate takes the largest id, so a payload that a
-third of all pages share costs one row for each task. Pages are then joined with the originals of their digest;
-adaptive execution may split that join where a digest is hot. Every task writes archives of its own with fresh
-headers: a response record with its payload, or a revisit record that refers to the original response. Reading
-parses the archives record by record and computes digests anew from the payloads it finds.
+Payloads are never shuffled. A first pass spools them, compressed, to the shared folder, and tells of each only a header: digest, size and
+place. Headers are grouped by digest, so that a payload that a third of all pages share costs one row for each task, and joined with
+the originals of their digest. Then each task goes once through one task's spool, in the order in which it was written, and writes archives of
+its own with fresh headers: a response record with its payload, or a revisit record that refers to the original response.
+Reading parses the archives record by record and computes digests anew from the payloads it finds.
 """
 
 from __future__ import annotations
@@ -13,19 +13,26 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.bytewords import open_in, open_out
-from inkwell.session import materialize, scratch_path
+from inkwell.llm.native_text import broadcast_if_small
+from inkwell.session import materialize, remove_path, scratch_path
 
 LEAST_BYTES = 1000
 ROLL_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
+#: Different payloads that occur several times and are broadcast; about 50 bytes each. More of them are joined by a shuffle of headers.
+MOST_ORIGINALS = 500_000
+_HEADER = "page_id long, url string, digest binary, size long, part int, path string, at long, length long"
 
 
 def record_id(page_id: int | None) -> str:
@@ -39,44 +46,97 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, html) with __digest, __size and refers_to: of pages with equal payloads of at least
+def spool(pages: DataFrame, folder: str) -> DataFrame:
+    """Store every payload of ``pages`` (page_id, url, html) in files of the shared folder; return the headers: digest and size, and where
+    the payload lies."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        out, path, at = None, None, 0
+        part = TaskContext.get().partitionId()
+        rows: list[tuple] = []
+        for batch in batches:
+            for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html")), strict=True):
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                if out is None:
+                    out, path = open_out(folder, "spool")
+                    at = 0
+                data = packer.compress(payload)
+                out.write(data)
+                rows.append((page.as_py(), url.as_py(), hashlib.sha1(payload).digest(), len(payload), part, path, at, len(data)))
+                at += len(data)
+                if at >= ROLL_BYTES:
+                    out.close()
+                    out = None
+                if len(rows) >= 10_000:
+                    yield _rows(rows)
+                    rows = []
+        if out is not None:
+            out.close()
+        if rows:
+            yield _rows(rows)
+
+    schema = pa.schema([
+        ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.binary()), ("size", pa.int64()), ("part", pa.int32()), ("path", pa.string()),
+        ("at", pa.int64()), ("length", pa.int64())])
+
+    def _rows(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, _HEADER)
+
+
+def resolve(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``headers`` (page_id, digest, size) with refers_to: of pages with equal payloads of at least
     ``least_bytes`` bytes, the largest page_id is the original and the others refer to it."""
-    told = pages.select("page_id", "url", "html").withColumn("__body", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    told = told.select("page_id", "url", "html", F.sha1("__body").alias("__digest"), F.length("__body").cast("long").alias("__size"))
-    heads = told.where(F.col("__size") >= least_bytes).groupBy("__digest", "__size").agg(F.max("page_id").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    heads = heads.where("__n > 1").drop("__n")
-    joined = told.join(heads, ["__digest", "__size"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))).drop("__first")
+    heads = headers.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    heads = broadcast_if_small(materialize(heads.where("n > 1").drop("n"), "originals"), MOST_ORIGINALS)
+    joined = headers.join(heads, ["digest", "size"], "left")
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Write a record for each row and return the archives (path, n_records).
+def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str | None = None) -> DataFrame:
+    """Write a record for each row and return the archives (path, n_records). ``date`` is that of all records, by default now.
 
     A null html is an empty payload; a null url becomes ``urn:page:ID``. Rows that repeat a page_id each get a record.
     With no page_id (null) a page can refer to others, not be referred to, unless all its equals lack one too: then
-    all are responses. An empty table writes nothing.
+    all are responses. An empty table writes nothing. Payloads of any size are held one at a time; columns other than page_id, url and html
+    are ignored.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
+        unpacker = zstandard.ZstdDecompressor()
         out, url, n, size = None, None, 0, 0
+        source, path, place = None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
+                if row["path"] != path:
+                    if source is not None:
+                        source.close()
+                    path, place = row["path"], 0
+                    source = open_in(path)
+                to, page = row["refers_to"], row["page_id"]
+                payload = b""
+                if to is None:
+                    while place < row["at"]:  # payloads of revisits are passed over
+                        place += len(source.read(min(_READ, row["at"] - place)))
+                    payload = unpacker.decompress(source.read(row["length"]))
+                    place += row["length"]
                 if out is None:
                     out, url = open_out(folder, "pages")
                     head = _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id(None)}>"), ("WARC-Date", date),
                                     ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     out.write(head)
-                payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-                to, page = row["refers_to"], row["page_id"]
                 headers = [
                     ("WARC-Type", "revisit" if to is not None else "response"), ("WARC-Record-ID", f"<{record_id(page)}>"),
                     ("WARC-Date", date), ("WARC-Target-URI", row["url"] or f"urn:page:{page}"),
-                    ("WARC-Payload-Digest", f"sha1:{row['__digest']}"), ("Page-ID", "" if page is None else str(page)),
-                    ("Payload-Length", str(len(payload))), ("Content-Type", "text/html; charset=utf-8")]
+                    ("WARC-Payload-Digest", f"sha1:{row['digest'].hex()}"), ("Page-ID", "" if page is None else str(page)),
+                    ("Payload-Length", str(row["size"])), ("Content-Type", "application/http; msgtype=response")]
                 if to is not None:
                     headers += [("WARC-Refers-To", f"<{record_id(to)}>"), ("WARC-Refers-To-Page", str(to)), ("WARC-Profile", PROFILE)]
-                data = _record(headers, b"" if to is not None else payload)
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['size']}\r\n\r\n".encode()
+                data = _record(headers, http + payload)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ROLL_BYTES:
@@ -87,7 +147,14 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: s
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [url], "n_records": [n]})
 
-    return resolve(pages, least_bytes).mapInArrow(run, "path string, n_records long")
+    spark = pages.sparkSession
+    spooled = scratch_path(spark, "warc-spool")
+    headers = materialize(spool(pages, spooled), "headers")
+    parts = (headers.agg(F.max("part")).first()[0] or 0) + 1
+    dealt = resolve(headers, least_bytes).repartitionById(parts, F.col("part")).sortWithinPartitions("path", "at")
+    archives = materialize(dealt.mapInArrow(run, "path string, n_records long"), "archives")
+    remove_path(spark, spooled)
+    return archives
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -128,13 +195,14 @@ def read(spark: SparkSession, archives: DataFrame) -> DataFrame:
                             continue
                         stated = headers["warc-payload-digest"].removeprefix("sha1:")
                         revisit = headers["warc-type"] == "revisit"
-                        digest = stated if revisit else hashlib.sha1(block).hexdigest()
+                        payload = block.partition(b"\r\n\r\n")[2]  # after the head of the HTTP message
+                        digest = stated if revisit else hashlib.sha1(payload).hexdigest()
                         if digest != stated:
                             raise ValueError(f"the payload of {headers['warc-record-id']} in {path} is damaged")
                         rows.append({
                             "page_id": int(headers["page-id"]) if headers["page-id"] else None, "url": headers["warc-target-uri"], "record_type": headers["warc-type"],
-                            "payload_bytes": int(headers["payload-length"]) if revisit else len(block), "payload_digest": digest,
-                            "refers_to": int(headers["warc-refers-to-page"]) if revisit else None, "html": None if revisit else block.decode("utf-8", "surrogatepass")})
+                            "payload_bytes": int(headers["payload-length"]) if revisit else len(payload), "payload_digest": digest,
+                            "refers_to": int(headers["warc-refers-to-page"]) if revisit else None, "html": None if revisit else payload.decode("utf-8", "surrogatepass")})
                         size += len(block)
                         if size > 8 << 20 or len(rows) >= 10_000:
                             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
@@ -155,7 +223,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages and read the archives back."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    return read(spark, materialize(write(pages, folder), "archives"))
+    return read(spark, write(pages, folder))
 
 
 REVISIT_SQL = """

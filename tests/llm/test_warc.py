@@ -21,3 +21,21 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages).count() == 0
+
+
+def test_payloads_stay_where_they_are(spark):
+    big = "z" * 2000
+    pages = spark.createDataFrame([(i, None, big if i % 2 else f"{i} " * 600, "x") for i in range(40)], "page_id long, url string, html string, digest string")
+    folder = warc.scratch_path(spark, "warc-test")
+    archives = warc.write(pages.repartition(4), folder, date="2001-02-03T04:05:06Z")
+    heads = []
+    for r in archives.collect():
+        with warc.open_in(r.path) as stream:
+            heads += [(h, block) for h, block in warc.records(stream)]
+    pages_of = [x for x in heads if x[0]["warc-type"] != "warcinfo"]
+    assert len(pages_of) == 40 and {h["warc-date"] for h, _ in pages_of} == {"2001-02-03T04:05:06Z"}
+    assert all(b.startswith(b"HTTP/1.1 200 OK\r\n") for _, b in pages_of)
+    revisits = [(h, b) for h, b in pages_of if h["warc-type"] == "revisit"]
+    assert len(revisits) == 19 and all(h["warc-refers-to-page"] == "39" and b.endswith(b"\r\n\r\n") for h, b in revisits)
+    whole = warc.resolve(warc.spool(pages, folder)).select("page_id", "refers_to")
+    assert {r.page_id: r.refers_to for r in whole.collect()} == {i: 39 if i % 2 and i != 39 else None for i in range(40)}
