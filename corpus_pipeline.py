@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import decontam, id_codec, mixing, simhash, toxicity
 from inkwell.llm.encoder import vocabulary_path
-from inkwell.session import materialize, table
+from inkwell.session import materialize, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows written to the shared folder for the next."""
+    """All stages over ``documents``, each stage's rows written to the shared folder for the next and deleted after it. Null and empty
+    texts pass the filters (one of them the near-duplicates); an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if number:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
