@@ -44,3 +44,15 @@ def snap_to_words(text: Column, start: Column, end: Column) -> tuple[Column, Col
     before = F.regexp_extract(F.substring(text, F.lit(1), start), r"(\S*)$", 1)
     after = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^(\S*)", 1)
     return start - F.length(before), end + F.length(after)
+
+
+def occurrences(text: Column, word: Column) -> Column:
+    """All starts of a word in a text, overlapping ones included, in order; an empty array for an empty word. The pieces between matches of a
+    lookahead that consumes one character add up to the starts, so the work is one pass over the text."""
+    pattern = F.concat(F.lit("(?s)(?=\\Q"), word, F.lit("\\E)."))
+    pieces = F.split(text, pattern)
+    found = F.aggregate(
+        F.slice(pieces, 1, F.size(pieces) - 1),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, piece: F.struct((s["at"] + F.length(piece) + 1).alias("at"), F.array_append(s["starts"], s["at"] + F.length(piece)).alias("starts")))
+    return F.when((word == "") | ~F.contains(text, word), F.array().cast("array<int>")).otherwise(found["starts"])

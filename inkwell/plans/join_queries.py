@@ -11,7 +11,7 @@ from inkwell.functions import text as T
 from inkwell.operators import graph, sampling, similar
 from inkwell.plans.catalogue import query
 from inkwell.plans.text_queries import LINES, NORMAL, lines
-from inkwell.session import table
+from inkwell.session import materialize, table
 
 
 @query("""SELECT l.doc_id, quality, toxic, lang, length(text)::INT AS n FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL""")
@@ -72,16 +72,39 @@ def leakage_exact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOC_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+_CLASSES = r"""
+s AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS t FROM documents),
+c AS (SELECT min(doc_id) AS rep, t FROM s WHERE len(t) > 0 GROUP BY t),
+p AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.t, b.t)) AS n, len(a.t) + len(b.t) AS m FROM c a JOIN c b ON a.rep < b.rep AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t)),
+pairs AS (SELECT a, b, n / (m - n) AS similarity FROM p WHERE n > 0 AND n / (m - n) >= 0.8)"""
 
 
-@query(rf"""
-WITH d AS (SELECT doc_id, {_DOC_WORDS} AS t FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS n, len(a.t) + len(b.t) AS m FROM d a JOIN d b ON a.doc_id < b.doc_id
-  AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t))
-SELECT a, b, round(n / (m - n), 9) AS similarity FROM p WHERE n > 0 AND n / (m - n) >= 0.8""")
+_SHARED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _document_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Membership and representative pairs of documents with similar word sets, made once for each application and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHARED:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.words(F.lower("text")).alias("tokens"))
+        members, sets = similar.set_classes(docs)
+        _SHARED[key] = materialize(members, "members"), materialize(similar.similar_classes(sets, 0.8), "pairs")
+    return _SHARED[key]
+
+
+@query(rf"WITH {_CLASSES} SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents with similar word sets."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.words(F.lower("text"))).alias("tokens"))
-    return similar.set_similarity_join(docs, docs, 0.8).where("a < b").select("a", "b", F.round("similarity", 9).alias("similarity"))
+    """Pairs of classes of documents with similar word sets, by their least doc_id; ``near_dup_members`` has the classes."""
+    return _document_classes(spark, sf_dir)[1].select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query(rf"""WITH {_CLASSES}, e AS (SELECT a AS rep, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs), k AS (SELECT rep, count(*) AS n FROM e GROUP BY rep)
+SELECT doc_id, c.rep, COALESCE(k.n, 0) AS n_links FROM s JOIN c USING (t) LEFT JOIN k USING (rep)""")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a word, the least doc_id of equal word set, and how many other classes that set is similar to."""
+    members, pairs = _document_classes(spark, sf_dir)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(links, "rep", "left").select(F.col("id").alias("doc_id"), "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')))"
@@ -238,10 +261,14 @@ e AS (SELECT a, b FROM p WHERE n > 0 AND n / (m - n) >= 0.8), s AS (SELECT a AS
 c(node, root) AS (SELECT x, x FROM s UNION SELECT s.y, c.root FROM c JOIN s ON s.x = c.node AND c.root < s.y)
 SELECT node, min(root) AS component FROM c GROUP BY node""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of the similar pairs; the root is a member too."""
-    parts = graph.components(near_dup_pairs(spark, sf_dir))
-    roots = parts.select(F.col("component").alias("node"), "component").distinct()
-    return parts.union(roots)
+    """Connected components of documents with similar word sets; the root is a member too. Classes of equal sets are nodes, so
+    their copies are linked by membership alone."""
+    members, pairs = _document_classes(spark, sf_dir)
+    parts = graph.components(pairs)
+    parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())
+    several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    told = several.join(parts, F.col("rep") == F.col("node"), "left").where("n > 1 or node is not null")
+    return members.join(told.select("rep", F.coalesce("component", "rep").alias("component")), "rep").select(F.col("id").alias("node"), "component")
 
 
 @query("""
@@ -344,11 +371,16 @@ def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.diverse_sample(rows, "source", "doc_id", "features", 5, "diverse")
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {_CLASSES}, ids AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM (SELECT a AS rep FROM pairs UNION SELECT b FROM pairs)),
+walk(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT walk.i + 1, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE b = ids.rep AND list_contains(kept, a)) THEN kept ELSE list_append(kept, ids.rep) END FROM walk JOIN ids ON ids.i = walk.i + 1),
+last AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)
+SELECT doc_id AS id FROM s WHERE len(t) = 0 OR t IS NULL UNION ALL SELECT rep FROM c WHERE rep NOT IN (SELECT rep FROM ids) UNION ALL SELECT unnest(kept) FROM last""")
 def keep_first_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a sequential keep-first pass over similar documents keeps."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return similar.keep_first(docs, near_dup_pairs(spark, sf_dir))
+    """What a sequential keep-first pass over documents with similar word sets keeps: of a class of equal sets the first at most."""
+    members, pairs = _document_classes(spark, sf_dir)
+    wordless = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(members, "id", "left_anti")
+    return similar.keep_first(members.select(F.col("rep").alias("id")).distinct(), pairs).union(wordless)
 
 
 @query(r"""

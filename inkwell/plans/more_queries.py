@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import spans as S
 from inkwell.functions.decode import viterbi
 from inkwell.operators import splits
 from inkwell.plans.catalogue import query
@@ -35,16 +36,12 @@ WITH d AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{4,}') AS word, le
 h AS (SELECT doc_id, word, claimed, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(word)) = word)) AS pos FROM d WHERE word <> '')
 SELECT doc_id, word, arg_min(pos, (abs(pos - claimed), pos))::INT AS start, count(*) AS n_hits FROM h GROUP BY doc_id, word""")
 def offset_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The occurrence of a span's text nearest to its claimed start. Occurrences come from the pieces between them, which cannot
-    overlap; the word at hand does not overlap itself."""
+    """The occurrence of a span's text nearest to its claimed start, overlapping occurrences included: a lookahead finds
+    them in one pass."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("word"), F.expr("length(text) div 2").alias("claimed")).where("word <> ''")
-    pieces = d.select("doc_id", "word", "claimed", F.posexplode(F.split("text", F.concat(F.lit(r"\Q"), "word", F.lit(r"\E")))).alias("k", "piece"))
-    w = Window.partitionBy("doc_id").orderBy("k")
-    at = F.sum(F.length("piece")).over(w) + F.col("k") * F.length("word")
-    last = F.max("k").over(Window.partitionBy("doc_id"))
-    hits = pieces.withColumn("at", at).withColumn("last", last).where("k < last")
-    best = F.min(F.struct(F.abs(F.col("at") - F.col("claimed")).alias("gap"), "at"))
-    return hits.groupBy("doc_id", "word").agg(best.alias("b"), F.count(F.lit(1)).alias("n_hits")).select("doc_id", "word", F.col("b.at").cast("int").alias("start"), "n_hits")
+    places = S.occurrences(F.col("text"), F.col("word"))
+    best = F.array_min(F.transform("hits", lambda at: F.struct(F.abs(at - F.col("claimed")).alias("gap"), at.alias("at"))))
+    return d.select("doc_id", "word", "claimed", places.alias("hits")).select("doc_id", "word", best["at"].cast("int").alias("start"), F.size("hits").cast("long").alias("n_hits"))
 
 
 @query(r"""
