@@ -41,7 +41,7 @@ def violations(text: Column, span: Column, start: Column, end: Column) -> Column
 
 def snap_to_words(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """Start and end moved outwards to the edges of the words that they cut."""
-    before = F.regexp_extract(F.substring(text, F.lit(1), start), r"(\S*)$", 1)
+    before = F.regexp_extract(F.substring(text, F.lit(1), start), r"(\S*)\z", 1)
     after = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^(\S*)", 1)
     return start - F.length(before), end + F.length(after)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import decode as D
 from inkwell.functions import spans as S
-from inkwell.functions.decode import viterbi
 from inkwell.operators import splits
 from inkwell.plans.catalogue import query
 from inkwell.plans.metric_queries import _RULE, ruled
@@ -131,12 +131,20 @@ def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.avg(A.total(F.col("z"))), 6).alias("mean"), F.round(F.max(F.array_max("z")), 6).alias("most"), F.round(F.avg(F.sqrt(A.dot(F.col("z"), F.col("z")))), 6).alias("norm"))
 
 
-@query()
+def _way(j: int) -> str:
+    return "[" + ", ".join(f"{{'v': tot[{i + 1}] + {MOVES[i][j]}, 'i': {-i}}}" for i in range(3)) + "]"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) // 3 + 1)) AS p FROM embeddings), r AS (SELECT vec_id, p, embedding[3 * p - 2]::DOUBLE AS a, embedding[3 * p - 1]::DOUBLE AS b, embedding[3 * p]::DOUBLE AS c FROM l),
+v(vec_id, p, tot, paths) AS (SELECT vec_id, p, [a, b, c], [[0], [1], [2]] FROM r WHERE p = 1 UNION ALL
+  SELECT vec_id, p, [w[1].v + a, w[2].v + b, w[3].v + c], [list_append(paths[1 - w[1].i], 0), list_append(paths[1 - w[2].i], 1), list_append(paths[1 - w[3].i], 2)]
+  FROM (SELECT r.vec_id, r.p, a, b, c, paths, [list_max({_way(0)}), list_max({_way(1)}), list_max({_way(2)})] AS w FROM v JOIN r ON r.vec_id = v.vec_id AND r.p = v.p + 1))
+SELECT vec_id, paths[1 - list_max([{{'v': tot[1], 'i': 0}}, {{'v': tot[2], 'i': -1}}, {{'v': tot[3], 'i': -2}}]).i]::INT[] AS tags FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) = 1""")
 def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best tag path of each vector read as steps of three scores."""
-    e = table(spark, sf_dir, "embeddings")
-    flat = F.slice(F.col("embedding").cast("array<double>"), F.lit(1), (F.size("embedding") / 3).cast("int") * 3)
-    return e.select("vec_id", viterbi(flat, MOVES).alias("tags"))
+    flat = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", D.viterbi(D.rows_of(flat), MOVES).alias("tags"))
 
 
 _SOFT = """s AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[] AS a, embedding[4:6]::DOUBLE[] AS b FROM embeddings),

@@ -83,19 +83,21 @@ def test_number_words():
         250, 15, 105, 250, 7, 10, None, None]
 
 
-def test_viterbi_equals_all_paths():
+def test_viterbi_equals_all_paths(spark):
     import itertools
 
-    import numpy as np
-
-    from inkwell.functions.decode import best_path
-
-    rng = np.random.default_rng(3)
-    for _ in range(20):
-        scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
-        total = lambda p: sum(scores[i, t] for i, t in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
-        assert tuple(best_path(scores, moves)) == max(itertools.product(range(3), repeat=5), key=total)
-    assert best_path(np.zeros((0, 3)), np.zeros((3, 3))) == []
+    from inkwell.functions import decode as D
+
+    rng = random.Random(3)
+    moves = [[rng.choice([-1.0, 0.0, 0.5]) for _ in range(3)] for _ in range(3)]
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3 * (i % 6))]) for i in range(40)]
+    got = {r.i: r.path for r in spark.createDataFrame(rows, "i int, z array<double>").select("i", D.viterbi(D.rows_of(F.col("z")), moves).alias("path")).collect()}
+    for i, z in rows:
+        steps = [z[k : k + 3] for k in range(0, len(z), 3)]
+        total = lambda path: sum(s[t] for s, t in zip(steps, path, strict=True)) + sum(moves[a][b] for a, b in zip(path[:-1], path[1:], strict=True))  # noqa: E731, B023
+        assert len(got[i]) == len(steps)
+        if steps:
+            assert total(got[i]) == max(map(total, itertools.product(range(3), repeat=len(steps))))
 
 
 def test_manifest(spark, tmp_path):
