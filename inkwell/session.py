@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -40,6 +41,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return found
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Plans that run inside send ``rows`` rows at a time to Python: what workers and the JVM hold of long texts shrinks with it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and everything runs on one
     machine, as in tests, a temporary folder that is then set as the checkpoint folder. On a cluster it has to be set."""
