@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import SparkFiles
+
+from inkwell.session import local_path
 
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _BLANK = np.zeros(256, dtype=bool)
@@ -26,6 +34,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lean(run):
+    """``run`` over batches, after which the worker gives the memory that it no longer uses back to the machine; workers live on for other
+    stages, and what they once needed would add up."""
+
+    @functools.wraps(run)
+    def go(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def hash_slices(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit hashes of buffer[start : start + size]. The buffer ends with PAD spare bytes. Strings of up to seven
     bytes never collide with each other; longer ones do with the odds of a random 64-bit function."""
@@ -105,6 +130,20 @@ def open_in(url: str):
     return system.open_input_stream(path)
 
 
+def mapped(url: str) -> np.ndarray:
+    """The bytes of a file of a shared folder, mapped. A file of a store without paths is copied, once for all workers of a machine, to the
+    folder that Spark keeps there for this application and deletes with it."""
+    path = local_path(url)
+    if path is None:
+        path = os.path.join(SparkFiles.getRootDirectory(), "inkwell-" + uuid.uuid5(uuid.NAMESPACE_URL, url).hex)
+        if not os.path.exists(path):
+            part = f"{path}-{uuid.uuid4().hex[:10]}"
+            with open_in(url) as source, open(part, "wb") as out:
+                shutil.copyfileobj(source, out, 1 << 20)
+            os.replace(part, path)  # of two workers that copy at once the later wins, with equal bytes
+    return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+
+
 def read_all(url: str) -> bytes:
     with open_in(url) as stream:
         return stream.read()

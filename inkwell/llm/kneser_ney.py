@@ -8,20 +8,20 @@ at a time, and send them packed, by ranges of their hash, so no shard depends on
 from the highest to 2, merges its n-grams, writes them as sorted arrays to the shared folder, and sends on what they add to
 the next: an n-gram of a lower order counts in how many distinct contexts it occurs, or, at the start of a document, how often. From order
 3 shards are ranges of the context's hash, so each also writes its contexts: their successors' counts in total, and how many follow once, twice and
-more often. Order 2 sends the same statistics of its words on to a last step, which merges them by word and writes the word arrays. The
+more often. A context that is followed once only is not written: its own n-gram, of the order below, tells of it. Order 2 sends the same statistics of its words on to a last step, which merges them by word and writes the word arrays. The
 driver sees a few totals of each shard.
 
 Scoring is one pass over the texts: workers map the arrays from the shared folder and look up each batch's
 distinct words and bigrams in hash order, so reads go forward through each file and the pages are shared by all workers of
-a machine. A shared folder that has no path on the machine is read through pyarrow instead.
+a machine. Where the shared folder has no path on the machine, a file that is needed is copied once to Spark's folder there and mapped.
 
-N-grams are identified by a 64-bit hash of the upper 48 bits of their words' hashes, words by 64 bits.
+N-grams are identified by 40 bits beyond their shard's (48 where shards are large) of a hash of the upper 48 bits of their words' hashes, words by 64 bits. The number
+of shards follows the bytes of the training texts.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import struct
 
 import numpy as np
@@ -32,19 +32,74 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from inkwell.llm import bytewords
-from inkwell.session import local_path, materialize, scratch_path
+from inkwell.session import materialize, scratch_path
 
 START = np.uint64(0x5D1E5A2B7C3F9E01)
 END = np.uint64(0xA7C1D3E5F70B9D02)
 #: Words of the longest n-grams that the registered query counts.
 ORDER = 3
 FLUSH_TOKENS = 4_000_000
+SHARD_BYTES = 64 << 20  # of text, for one shard of the model
+LEAST_BITS = 4
 _LOW = np.uint64(16)
 _MOST_BITS = 16  # of a context's hash that its n-grams' keys begin with
 _ROWS = "kind int, shard int, blob binary"
-# Layouts of the stored arrays.
-_GRAM = np.dtype([("key", "<u8"), ("n", "<u4")])
-_CONTEXT = np.dtype([("key", "<u8"), ("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+
+
+class Table:
+    """A stored table of sorted keys with small numbers: the arrays of the keys' upper 32 and lower bits, one byte for each number, and
+    the numbers of 255 and more beside them. It is read where it lies in a mapped file."""
+
+    HEAD = struct.Struct("<qqqq")  # keys, bytes of a key's lower part, fields, numbers kept beside
+
+    def __init__(self, data: np.ndarray):
+        n, low, self.fields, more = self.HEAD.unpack(data[: self.HEAD.size].tobytes()) if len(data) else (0, 2, 0, 0)
+        cuts = np.cumsum([self.HEAD.size, 4 * n, low * n, self.fields * n, 8 * more, 8 * more]).tolist()
+        part = [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.n, self.low_bits = n, 8 * low
+        self.high, self.low = part[0].view("<u4"), part[1].view(f"<u{low}")
+        self.small, self.places, self.more = part[2], part[3].view("<i8"), part[4].view("<i8")
+
+    @classmethod
+    def pack(cls, keys: np.ndarray, low_bits: int, columns: list[np.ndarray]) -> bytes:
+        """The bytes of a table. keys: sorted, of 32 + low_bits bits."""
+        flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
+        places = np.flatnonzero(flat >= 255)
+        high, low = (keys >> np.uint64(low_bits)).astype("<u4"), (keys & np.uint64((1 << low_bits) - 1)).astype(f"<u{low_bits // 8}")
+        return b"".join([
+            cls.HEAD.pack(len(keys), low_bits // 8, len(columns), len(places)), high.tobytes(), low.tobytes(), np.minimum(flat, 255).astype(np.uint8).tobytes(),
+            places.astype("<i8").tobytes(), flat[places].astype("<i8").tobytes()])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The fields of sorted keys, as rows; 0 where there is no such key."""
+        out = np.zeros((self.fields, len(keys)), np.int64)
+        if not self.n or not len(keys):
+            return out
+        high, low = (keys >> np.uint64(self.low_bits)).astype("<u4"), (keys & np.uint64((1 << self.low_bits) - 1)).astype(self.low.dtype)
+        at = np.searchsorted(self.high, high)
+        todo = np.flatnonzero(at < self.n)
+        todo = todo[self.high[at[todo]] == high[todo]]
+        hits = []
+        while len(todo):  # few keys share their upper part
+            right = self.low[at[todo]] == low[todo]
+            hits.append(todo[right])
+            todo = todo[~right]
+            at[todo] += 1
+            todo = todo[at[todo] < self.n]
+            todo = todo[self.high[at[todo]] == high[todo]]
+        hit = np.concatenate(hits) if hits else todo
+        for f in range(self.fields):
+            place = at[hit] + f * self.n
+            value = self.small[place].astype(np.int64)
+            large = np.flatnonzero(value == 255)
+            value[large] = self.more[np.searchsorted(self.places, place[large])]
+            out[f, hit] = value
+        return out
+
+
+def _stored_keys(keys: np.ndarray, bits: int, low: int) -> np.ndarray:
+    """The 32 + ``low`` bits of n-gram keys that follow the first ``bits``, which the shard has."""
+    return (keys << np.uint64(bits)) >> np.uint64(32 - low)
 
 
 def tokens(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,19 +147,36 @@ def gram_keys(words48: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]
     return key, context
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _keys_of(words: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
+    """``gram_keys`` of n-grams given as columns of places in ``words``, some at a time."""
+    keys, contexts = np.empty(len(columns[0]), np.uint64), np.empty(len(columns[0]), np.uint64) if len(columns) > 2 else None
+    for a in range(0, len(keys), 1 << 19):
+        part, above = gram_keys([words[x[a : a + (1 << 19)]] for x in columns])
+        keys[a : a + len(part)] = part
+        if contexts is not None:
+            contexts[a : a + len(part)] = above
+    return keys, contexts
+
+
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The lower ``size`` bytes of each value, all first bytes, then all second bytes and so on."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _from_planes(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
     return out.view("<u8").reshape(-1)
 
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo 2 ** 64."""
+    return np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+
+
 def _put(columns: list[bytes]) -> bytes:
     body = b"".join(columns)
-    return struct.pack("<B", len(columns)) + struct.pack(f"<{len(columns)}Q", *map(len, columns)) + zstandard.ZstdCompressor(level=1).compress(body)
+    return struct.pack("<B", len(columns)) + struct.pack(f"<{len(columns)}Q", *map(len, columns)) + zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _get(blob: bytes) -> list[bytes]:
@@ -115,6 +187,38 @@ def _get(blob: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _pack_grams(columns: list[np.ndarray], words: np.ndarray, n: np.ndarray) -> bytes:
+    """n-grams, given as columns of places in ``words`` (48 bits each), and their counts: the words that occur, by powers of 2 of their frequency
+    and then by value, and the n-grams as sorted places in them; all byte by byte, which compresses well."""
+    counts = np.bincount(np.concatenate(columns), minlength=len(words))
+    used = np.flatnonzero(counts)
+    used = used[np.lexsort((words[used], -np.log2(counts[used]).astype(np.int64)))]
+    place = np.empty(len(words), np.uint32)
+    place[used] = np.arange(len(used), dtype=np.uint32)
+    places = place[np.stack(columns)]
+    rows = np.lexsort(places[::-1])
+    places, n = places[:, rows], n[rows]
+    places[0, 1:] = np.diff(places[0])
+    told = _put([_planes(_steps(words[used]), 6)])
+    return struct.pack("<Q", len(told)) + told + _put([_planes(x, 4) for x in (*places, n)])
+
+
+def _unpack_grams(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted words, the columns of places in them, and the counts of all n-grams that ``_pack_grams`` packed in ``blobs``, one blob after
+    the other; the list is emptied."""
+    mask, cuts = np.uint64((1 << 48) - 1), [8 + struct.unpack_from("<Q", x)[0] for x in blobs]
+    words = [np.cumsum(_from_planes(_get(x[8:cut])[0], 6), dtype=np.uint64) & mask for x, cut in zip(blobs, cuts, strict=True)]
+    every = np.unique(np.concatenate(words))
+    found: list[list[np.ndarray]] = []
+    for held, cut in zip(words[::-1], cuts[::-1], strict=True):
+        told = [_from_planes(y, 4).astype(np.uint32) for y in _get(blobs.pop()[cut:])]
+        told[0] = np.cumsum(told[0], dtype=np.uint32)
+        place = np.searchsorted(every, held).astype(np.uint32)
+        found.append([*[place[y] for y in told[:-1]], told[-1]])
+    *columns, n = (np.concatenate([x[i] for x in found]) for i in range(len(found[0])))
+    return every, columns, n
+
+
 def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
     """First places of the 2**bits ranges of sorted keys, with the end."""
     if not bits:
@@ -131,46 +235,68 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _map(bits: int, order: int):
     def flush(parts):
-        h, *before = (np.concatenate(x) for x in zip(*parts, strict=True))
-        words, counts = np.unique(h, return_counts=True)
+        begins = np.concatenate([x + a for (_, x), a in zip(parts, np.cumsum([0, *[len(x) for x, _ in parts]]), strict=False)])
+        h = np.concatenate([x for x, _ in parts])
+        parts.clear()
+        words, ids, counts = np.unique(h, return_inverse=True, return_counts=True)
+        del h
         cuts = _shards(words, bits)
         for s in range(1 << bits):
             a, b = cuts[s], cuts[s + 1]
             if b > a:
-                yield 0, s, _put([words[a:b].tobytes(), counts[a:b].astype("<i8").tobytes()])
-        grams = [x >> _LOW for x in (*before[::-1], h)]
-        keys, contexts = gram_keys(grams)
-        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                yield 0, s, _put([_planes(_steps(words[a:b]), 8), _planes(counts[a:b], 8)])
+        words = np.concatenate((words, [START])) >> _LOW
+        columns = [ids.astype(np.uint32)]
+        del ids
+        while len(columns) < order:
+            earlier = np.empty_like(columns[0])
+            earlier[1:] = columns[0][:-1]
+            earlier[begins] = len(words) - 1
+            columns.insert(0, earlier)
+        width = np.uint64(len(words).bit_length())
+        if int(width) * order <= 64:  # the places themselves tell n-grams apart
+            packed = columns[0].astype(np.uint64)
+            for x in columns[1:]:
+                packed <<= width
+                packed |= x
+            packed.sort()
+            first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+            counts = np.diff(np.append(first, len(packed)))
+            packed = packed[first]
+            columns = [((packed >> (width * np.uint64(order - 1 - i))) & ((np.uint64(1) << width) - np.uint64(1))).astype(np.uint32) for i in range(order)]
+            del packed
+            keys, _ = _keys_of(words, columns)
+            first = np.argsort(keys)
+            keys, counts = keys[first], counts[first]
+        else:
+            keys, first, counts = np.unique(_keys_of(words, columns)[0], return_index=True, return_counts=True)
         cuts = _shards(keys, bits)
         for s in range(1 << bits):
-            at, n = first[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]
+            at = first[cuts[s] : cuts[s + 1]]
             if len(at):
-                if contexts is not None:  # equal contexts side by side take little space
-                    by_context = np.argsort(contexts[at])
-                    at, n = at[by_context], n[by_context]
-                yield order, s, _put([*[_six(x[at]) for x in grams], n.astype("<u4").tobytes()])
+                yield order, s, _pack_grams([x[at] for x in columns], words, counts[cuts[s] : cuts[s + 1]])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, _, buffer, offsets in bytewords.slices_of(batch.column("text")):
-                h, before, places = tokens(buffer, offsets)
-                held.append((h, *histories(before, places, order)))
+                h, _, places = tokens(buffer, offsets)
+                held.append((h, places[:-1]))
                 size += len(h)
                 if size >= FLUSH_TOKENS:
-                    yield _batch(list(flush(held)))
-                    held, size = [], 0
+                    yield from map(_batch, ([x] for x in flush(held)))
+                    size = 0
         if held:
-            yield _batch(list(flush(held)))
+            yield from map(_batch, ([x] for x in flush(held)))
 
     return run
 
 
-def _by_shard(batches) -> dict[int, dict[int, list[list[bytes]]]]:
-    found: dict[int, dict[int, list[list[bytes]]]] = {}
+def _by_shard(batches) -> dict[int, dict[int, list[bytes]]]:
+    found: dict[int, dict[int, list[bytes]]] = {}
     for batch in batches:
         for kind, shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found.setdefault(shard, {}).setdefault(kind, []).append(_get(blob))
+            found.setdefault(shard, {}).setdefault(kind, []).append(blob)
     return found
 
 
@@ -179,7 +305,7 @@ def _merge(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return (keys[first], order[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
+    return (keys[first], order[first], *(np.add.reduceat(v[order], first, dtype=np.int64) if len(first) else v[:0].astype(np.int64) for v in values))
 
 
 def _sums(n: np.ndarray) -> list[np.ndarray]:
@@ -187,63 +313,65 @@ def _sums(n: np.ndarray) -> list[np.ndarray]:
     return [n, *[x.astype(np.int64) for x in (n == 1, n == 2, n >= 3)]]
 
 
-def _reduce(folder: str, bits: int, k: int):
+def _reduce(folder: str, bits: int, low: int, k: int):
     """Merge and store the n-grams of k words; send on what they add to those of k - 1 words."""
 
-    def write(name, dtype, *columns):
-        stored = np.empty(len(columns[0]), dtype)
-        for field, x in zip(dtype.names, columns, strict=True):
-            stored[field] = np.minimum(x, 0xFFFFFFFF) if dtype[field].itemsize == 4 else x
+    def write(name, keys, *columns):
         out, url = bytewords.open_out(folder, name)
         with out:
-            out.write(stored.tobytes())
+            out.write(Table.pack(_stored_keys(keys, bits, low), low, list(columns)))
         return url
 
     def run(batches):
         for shard, kinds in sorted(_by_shard(batches).items()):
-            rows = [(9, shard, _put(x)) for x in kinds.get(9, [])]
+            rows = [(kind, shard, x) for kind in (-2, -1) for x in kinds.get(kind, [])]
             if 0 in kinds:
-                words = np.concatenate([np.frombuffer(x[0], "<u8") for x in kinds[0]])
-                words, _, counts = _merge(words, np.concatenate([np.frombuffer(x[1], "<i8") for x in kinds[0]]))
-                rows.append((0, shard, _put([words.tobytes(), counts.tobytes()])))
+                told = [_get(x) for x in kinds.pop(0)]
+                words = np.concatenate([np.cumsum(_from_planes(x[0], 8), dtype=np.uint64) for x in told])
+                words, _, counts = _merge(words, np.concatenate([_from_planes(x[1], 8).astype(np.int64) for x in told]))
+                out, url = bytewords.open_out(folder, f"counts-{shard:06d}")  # only its name goes on
+                with out:
+                    out.write(_put([_planes(_steps(words), 8), _planes(counts, 8)]))
+                rows.append((-2, shard, url.encode()))
+                del told, words, counts
             if k in kinds:
-                grams = [np.concatenate([_from_six(x[i]) for x in kinds[k]]) for i in range(k)]
-                n = np.concatenate([np.frombuffer(x[k], "<u4") for x in kinds[k]]).astype(np.int64)
-                keys, contexts = gram_keys(grams)
+                words, columns, n = _unpack_grams(kinds.pop(k))
+                keys, contexts = _keys_of(words, columns)
                 keys, at, n = _merge(keys, n)
-                grams = [x[at] for x in grams]
+                columns = [x[at] for x in columns]
+                contexts = None if contexts is None else contexts[at]
                 told = {"k": k, "contexts": None}
                 if k == 2:
-                    told["grams"] = write(f"grams-2-{shard:06d}", _GRAM, keys, n)
+                    told["grams"] = write(f"grams-2-{shard:06d}", keys, n)
                     ones = n
                     # What each 48-bit hash gains, as the later word and as the context.
-                    c, w = grams
-                    h = np.concatenate((w, c))
-                    sums = [np.concatenate((np.full(len(w), i == 0, np.int64), x)) for i, x in
-                            enumerate((np.zeros(len(c), np.int64), *_sums(n)))]
-                    h, _, *sums = _merge(h << _LOW, *sums)
-                    cuts = _shards(h, bits)
+                    first, later = columns
+                    sums = [np.bincount(later, minlength=len(words)), *[
+                        np.bincount(first, weights=x, minlength=len(words)).astype(np.int64) for x in _sums(n)]]
+                    cuts = _shards(words << _LOW, bits)
                     for s in range(1 << bits):
                         a, b = cuts[s], cuts[s + 1]
                         if b > a:
-                            rows.append((1, s, _put([_six(h[a:b] >> _LOW), *[x[a:b].astype("<i8").tobytes() for x in sums]])))
+                            rows.append((1, s, _put([_planes(_steps(words[a:b]), 6), *[_planes(x[a:b], 8) for x in sums]])))
                 else:
                     # Beyond a document's start stand no n-grams of this order; their counts are those of the next order's first ones.
-                    padded = grams[1] == START >> _LOW
+                    padded = words[columns[1]] == START >> _LOW
                     ones = n[~padded]
-                    told["grams"] = write(f"grams-{k}-{shard:06d}", _GRAM, keys[~padded], ones)
-                    found, _, *sums = _merge(contexts[at][~padded], *_sums(ones))
-                    told["contexts"] = write(f"contexts-{k}-{shard:06d}", _CONTEXT, found, *sums)
-                    suffix, _ = gram_keys(grams[1:])
+                    told["grams"] = write(f"grams-{k}-{shard:06d}", keys[~padded], ones)
+                    found, _, *sums = _merge(contexts[~padded], *_sums(ones))
+                    several = sums[0] > 1  # a context that is followed once only needs no place: its own n-gram is known
+                    told["contexts"] = write(f"contexts-{k}-{shard:06d}", found[several], *[x[several] for x in sums])
+                    del keys, contexts, found, sums
+                    suffix, _ = _keys_of(words, columns[1:])
                     suffix, at, n = _merge(suffix, np.where(padded, n, 1))
-                    grams = [x[at] for x in grams[1:]]
+                    columns = [x[at] for x in columns[1:]]
                     cuts = _shards(suffix, bits)
                     for s in range(1 << bits):
                         a, b = cuts[s], cuts[s + 1]
                         if b > a:
-                            rows.append((k - 1, s, _put([*[_six(x[a:b]) for x in grams], np.minimum(n[a:b], 0xFFFFFFFF).astype("<u4").tobytes()])))
+                            rows.append((k - 1, s, _pack_grams([x[a:b] for x in columns], words, np.minimum(n[a:b], 0xFFFFFFFF))))
                 told["n"] = [int((ones == i).sum()) for i in (1, 2, 3, 4)]
-                rows.append((9, shard, _put([json.dumps(told).encode()])))
+                rows.append((-1, shard, _put([json.dumps(told).encode()])))
             if rows:
                 yield _batch(rows)
 
@@ -258,11 +386,15 @@ def _finish(folder: str):
     def run(batches):
         for shard, kinds in sorted(_by_shard(batches).items()):
             row = dict.fromkeys(_TOTALS, 0) | {"shard": shard, "words": None}
-            row["levels"] = json.dumps([json.loads(x[0]) for x in kinds.get(9, [])])
-            stats = kinds.get(1, [])
-            h48 = np.concatenate([_from_six(x[0]) for x in stats]) if stats else np.zeros(0, np.uint64)
-            h48, _, *sums = _merge(h48, *[np.concatenate([np.frombuffer(x[1 + k], "<i8") for x in stats]) if stats else np.zeros(0, np.int64) for k in range(5)])
-            words, counts = (np.frombuffer(x, t) for x, t in zip(kinds[0][0], ("<u8", "<i8"), strict=True)) if 0 in kinds else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            row["levels"] = json.dumps([json.loads(_get(x)[0]) for x in kinds.get(-1, [])])
+            stats = [_get(x) for x in kinds.get(1, [])]
+            h48 = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(_from_planes(x[0], 6), dtype=np.uint64) for x in stats]])
+            h48, _, *sums = _merge(h48, *[
+                np.concatenate([np.zeros(0, np.int64), *[_from_planes(x[1 + k], 8).astype(np.int64) for x in stats]]) for k in range(5)])
+            words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if -2 in kinds:
+                words, counts = _get(bytewords.read_all(kinds[-2][0].decode()))
+                words, counts = np.cumsum(_from_planes(words, 8), dtype=np.uint64), _from_planes(counts, 8).astype(np.int64)
             is_start = h48 == START >> _LOW
             keys = np.concatenate((words, np.full(int(is_start.any()), START)))
             at = np.searchsorted(h48, keys >> _LOW)
@@ -270,9 +402,7 @@ def _finish(folder: str):
             columns = [keys[order], np.concatenate((counts, np.zeros(len(keys) - len(words), np.int64)))[order], *[x[at][order] for x in sums]]
             out, row["words"] = bytewords.open_out(folder, f"words-{shard:06d}")
             with out:
-                out.write(struct.pack("<q", len(keys)))
-                for x in columns:
-                    out.write(x.astype("<i8" if x.dtype.kind == "i" else "<u8").tobytes())
+                out.write(Table.pack(columns[0], 32, columns[1:]))
             cont = sums[0]
             real = cont > 0
             row |= {"n_tokens": int(counts.sum()), "n_words": len(words), "distinct": int(cont.sum())}
@@ -300,8 +430,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """The stored arrays and totals. Instances travel to workers as paths and a few numbers."""
 
-    def __init__(self, bits: int, rows: list[dict], order: int = 2):
-        self.bits, self.order = bits, order
+    def __init__(self, bits: int, low: int, rows: list[dict], order: int = 2):
+        self.bits, self.low, self.order = bits, low, order
         self.paths = {r["shard"]: r["words"] for r in rows}
         self.levels: dict[int, dict[int, dict]] = {k: {} for k in range(2, order + 1)}
         for r in rows:
@@ -318,51 +448,29 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
-    def _array(self, url: str) -> np.ndarray:
-        path = local_path(url)
-        if path and not os.path.getsize(path):  # cannot be mapped
-            return np.zeros(0, np.uint8)
-        return np.memmap(path, np.uint8, "r") if path else np.frombuffer(bytewords.read_all(url), np.uint8)
-
-    def _words(self, shard: int):
-        if ("w", shard) not in self.open:
-            data = self._array(self.paths[shard])
-            n = int(data[:8].view("<q")[0])
-            columns = data[8:].view("<i8").reshape(7, n)
-            self.open["w", shard] = (columns[0].view("<u8"), columns[1:])
-        return self.open["w", shard]
+    def _table(self, url: str) -> Table:
+        if url not in self.open:
+            self.open[url] = Table(bytewords.mapped(url))
+        return self.open[url]
 
     def words(self, keys: np.ndarray) -> np.ndarray:
         """(count, contexts, successors' total, once, twice, more) as rows of 64-bit integers for sorted distinct hashes; 0 if unknown."""
         out = np.zeros((6, len(keys)), np.int64)
         cuts = _shards(keys, self.bits)
-        for s, words in self.paths.items():
+        for s, url in self.paths.items():
             a, b = cuts[s], cuts[s + 1]
-            if words and b > a:
-                stored, columns = self._words(s)
-                at = np.searchsorted(stored, keys[a:b])
-                hit = at < len(stored)
-                hit[hit] = stored[at[hit]] == keys[a:b][hit]
-                out[:, a:b][:, hit] = columns[:, at[hit]]
+            if url and b > a:
+                out[:, a:b] = self._table(url).find(keys[a:b])
         return out
 
     def find(self, k: int, part: str, keys: np.ndarray) -> np.ndarray:
-        """The fields beside the key of the grams or contexts of order k, as rows for sorted distinct keys; 0 if unknown."""
-        dtype = _GRAM if part == "grams" else _CONTEXT
-        out = np.zeros((len(dtype.names) - 1, len(keys)), np.int64)
+        """The fields of the grams or contexts of order k, as rows for sorted distinct keys; 0 if unknown."""
+        out = np.zeros((1 if part == "grams" else 4, len(keys)), np.int64)
         cuts = _shards(keys, self.bits)
         for s, told in self.levels[k].items():
             a, b = cuts[s], cuts[s + 1]
             if b > a:
-                if (k, part, s) not in self.open:
-                    self.open[k, part, s] = self._array(told[part]).view(dtype)
-                stored = self.open[k, part, s]
-                at = np.searchsorted(stored["key"], keys[a:b])
-                hit = at < len(stored)
-                hit[hit] = stored["key"][at[hit]] == keys[a:b][hit]
-                found = stored[at[hit]]
-                for row, field in zip(out, dtype.names[1:], strict=True):
-                    row[a:b][hit] = found[field]
+                out[:, a:b] = self._table(told[part]).find(_stored_keys(keys[a:b], self.bits, self.low))
         return out
 
     def logs(self, h: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,16 +482,23 @@ class Model:
         base = np.log10((own[0] + 1) / (self.n + self.v + 1))
         cont = own[1]
         p = np.maximum(cont - self.d1[np.minimum(cont, 3)], 0) / max(1, self.distinct) + self.rest / (self.v + 1)
+        shorter = n = own[0]
         for k, d in self.d.items():
-            keys, contexts = gram_keys([x >> _LOW for x in (*before[: k - 1][::-1], h)])
+            shorter, grams = n, [x >> _LOW for x in (*before[: k - 1][::-1], h)]
+            keys, contexts = gram_keys(grams)
             keys, back = np.unique(keys, return_inverse=True)
             n = self.find(k, "grams", keys)[0][back]
             if k == 2:
                 seen, once, twice, more = context[2:]
             else:
-                contexts, back = np.unique(contexts, return_inverse=True)
-                seen, once, twice, more = self.find(k, "contexts", contexts)[:, back]
-                seen = np.where(before[k - 3] == START, 0, seen)  # the context would begin before the document
+                # The context is the n-gram of the order below that ends with the token before; it can't begin before the document.
+                known = np.concatenate(([False], shorter[:-1] > 0)) & (before[k - 3] != START)
+                asked, back = np.unique(contexts[known], return_inverse=True)
+                told = np.zeros((4, len(h)), np.int64)
+                told[:, known] = self.find(k, "contexts", asked)[:, back]
+                seen, once, twice, more = told
+                alone = known & (seen == 0)
+                seen[alone] = once[alone] = 1
             follows = d[1] * once + d[2] * twice + d[3] * more
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = np.where(seen > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + follows * p) / seen, p)
@@ -402,13 +517,16 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         raise ValueError("the order is at least 2")
     spark = docs.sparkSession
     folder = scratch_path(spark, "ngram-model")
-    bits = min(_MOST_BITS, max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    learned = docs.where(~held_out()).select("text")
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(_MOST_BITS, max(LEAST_BITS, (size // SHARD_BYTES).bit_length()))
+    low = 8 if size >> bits <= 4 * SHARD_BYTES else 16  # a wrong hit has the odds of a shard's n-grams in 2 ** (32 + low)
     parts = 1 << bits
-    counted = docs.where(~held_out()).select("text").mapInArrow(_map(bits, order), _ROWS)
+    counted = learned.mapInArrow(bytewords.lean(_map(bits, order)), _ROWS)
     for k in range(order, 1, -1):
-        counted = counted.repartitionById(parts, F.col("shard")).mapInArrow(_reduce(folder, bits, k), _ROWS)
-    done = materialize(counted.repartitionById(parts, F.col("shard")).mapInArrow(_finish(folder), _MANIFEST), "manifest")
-    return Model(bits, [r.asDict() for r in done.collect()], order)
+        counted = counted.repartitionById(parts, F.col("shard")).mapInArrow(bytewords.lean(_reduce(folder, bits, low, k)), _ROWS)
+    done = materialize(counted.repartitionById(parts, F.col("shard")).mapInArrow(bytewords.lean(_finish(folder)), _MANIFEST), "manifest")
+    return Model(bits, low, [r.asDict() for r in done.collect()], order)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -434,4 +552,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([
         docs.schema["doc_id"], StructField("held_out", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()),
         StructField("train_tokens", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
-    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("__text")).mapInArrow(bytewords.lean(run), schema)

@@ -130,7 +130,7 @@ def slow_probability(history, word, counts, v):
     return (max(n - d[min(n, 3)], 0) + sum(d[min(x, 3)] for x in after) * lower) / sum(after)
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("order", [2, 3, 4, 12])
 def test_any_order_matches_the_textbook(spark, order):
     rng = random.Random(order)
     vocabulary = ["a", "B", "longer-than-eight-bytes", "ä"] + [f"w{i}" for i in range(8)]
@@ -146,3 +146,52 @@ def test_any_order_matches_the_textbook(spark, order):
 
 def test_the_registered_model_looks_beyond_the_previous_word():
     assert kn.ORDER >= 3
+
+
+def test_tables_find_what_was_packed():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate((rng.integers(0, 1 << 48, 500), np.arange(40) + (7 << 16), [0, (1 << 48) - 1])).astype(np.uint64))
+    columns = [rng.integers(0, 300, len(keys)), rng.integers(0, 1 << 40, len(keys))]
+    table = kn.Table(np.frombuffer(kn.Table.pack(keys, 16, columns), np.uint8))
+    asked = np.unique(np.concatenate((keys, rng.integers(0, 1 << 48, 500).astype(np.uint64), keys[:-1] + np.uint64(1))))
+    known = {k: v for k, *v in zip(keys.tolist(), *[c.tolist() for c in columns], strict=True)}
+    assert table.find(asked).T.tolist() == [known.get(k, [0, 0]) for k in asked.tolist()]
+    empty = kn.Table(np.frombuffer(kn.Table.pack(keys[:0], 16, [keys[:0]]), np.uint8))
+    assert empty.find(asked).tolist() == [[0] * len(asked)]
+
+
+def test_grams_survive_packing():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(0, 1 << 48, 60).astype(np.uint64))
+    parts, want = [], []
+    for _ in range(2):
+        grams = np.unique(rng.integers(0, 50, (3, 900)), axis=1)
+        n = rng.integers(1, 1 << 31, grams.shape[1])
+        parts.append(kn._pack_grams(list(grams), words, n))
+        want += zip(*words[grams].tolist(), n.tolist(), strict=True)
+    every, columns, counts = kn._unpack_grams(parts)
+    assert sorted(zip(*[every[c].tolist() for c in columns], counts.tolist(), strict=True)) == sorted(want)
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    long = "a b " * 300_000
+    x, y, z = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    rows = [(x, "a b c"), (x, "a b c"), (None, "a b c"), (y, long), (z, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.held_out, r.n_tokens, r.train_tokens, round(r.score, 6)) for r in kn.score(docs, kn.train(docs, 3)).collect()))
+    assert [x[:4] for x in got] == [
+        (0, True, 4, 600_010), (x, False, 4, 600_010), (x, False, 4, 600_010), (y, False, 600_001, 600_010), (z, False, 1, 600_010)]
+    assert got[0][4] == got[1][4] == got[2][4]
+
+
+def test_files_of_a_store_without_paths_are_mapped_from_a_copy(spark, tmp_path, monkeypatch):
+    from inkwell.llm import bytewords
+
+    (tmp_path / "f").write_bytes(b"some bytes")
+    monkeypatch.setattr(bytewords, "local_path", lambda url: None)
+    for _ in range(2):
+        assert bytes(bytewords.mapped(f"file://{tmp_path}/f")) == b"some bytes"
