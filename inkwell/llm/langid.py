@@ -4,12 +4,14 @@ A text is lower-cased, runs of characters other than letters become one space, a
 falls into one of ``BUCKETS`` hash buckets. Training counts buckets by language on the executors, over a
 sample of documented size for each language; the smoothed log-probability matrix (buckets x languages, 32-bit floats,
 256 KB for each language) is broadcast. A batch is scored sparsely: the rows of the matrix that its n-grams name
-are gathered and summed by text, so memory depends on the slice of text at hand and not on the buckets.
+are gathered and summed by text, so memory depends on the slice of text at hand and not on the buckets. Long texts are cut
+into slices that hand on their last characters, so no n-gram is lost.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from inkwell.llm.bytewords import mix
+from inkwell.llm.bytewords import lean, mix
 from inkwell.llm.native_text import broadcast_if_small
 
 BUCKETS = 1 << 16
@@ -26,8 +28,8 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: About so many training documents of each language are counted; a hash of doc_id chooses them.
 SAMPLE_PER_LANGUAGE = 20_000
-#: Languages that one model may hold: the bound of the broadcast matrix, 250 MB.
-MOST_LANGUAGES = 1000
+#: Languages that one model may hold (more raise an error): the bound of the broadcast matrix, 64 MB.
+MOST_LANGUAGES = 256
 _SLICE = 1 << 19
 _LETTER: list[np.ndarray] = []
 
@@ -38,54 +40,66 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all n-grams, and the text that each belongs to. No n-gram spans two texts."""
-    codes = np.frombuffer("\n".join([t.lower() for t in texts] + [""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.fromiter((len(t.lower()) + 1 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes)
+def _normal(text: str, after_letter: bool) -> np.ndarray:
+    """Code points of the lower-cased text with one space for each run of other characters that follows a letter."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _letters()[np.minimum(codes, 0x10FFFF)]
-    codes = np.where(letter, codes, 32).astype(np.uint64)
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one space after each run of letters
-    codes, owner = codes[keep], owner[keep]
-    if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, of = [], []
+    keep[1:] |= letter[:-1]
+    keep[:1] |= after_letter
+    return np.where(letter, codes, 32)[keep]
+
+
+def _buckets(codes: np.ndarray, owner: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams that end beyond the first ``old`` characters and lie in one text, the text of each, and the first place of each order."""
+    found, of, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
     h = np.zeros(len(codes), np.uint64)
+    codes = codes.astype(np.uint64)
     for n in ORDERS:
         if n > len(codes):
             break
         h = (h[: len(codes) - n + 1] * np.uint64(0x100000001B3)) ^ codes[n - 1 :]
         one = owner[: len(h)] == owner[n - 1 :]
+        one[: max(0, old - n + 1)] = False
         found.append((mix(h + np.uint64(n))[one] % np.uint64(BUCKETS)).astype(np.int64))
         of.append(owner[: len(h)][one])
-    return np.concatenate(found), np.concatenate(of)
+        firsts.append(firsts[-1] + len(found[-1]))
+    return np.concatenate(found), np.concatenate(of), np.array(firsts)
 
 
-def _pieces(texts: list[str]):
-    """(number of the text, piece): whole texts in pieces of bounded size, cut at spaces where there are any. Grams across
-    a cut inside a word are the only ones not counted."""
-    for i, t in enumerate(texts):
-        at = 0
-        while at < len(t):
-            end = min(len(t), at + _SLICE)
-            if end < len(t) and (space := t.rfind(" ", at + 1, end)) > 0:
-                end = space
-            yield i, t[at:end]
-            at = end
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of the texts: the buckets of their n-grams, the number of the text that each belongs to, and the first place of each
+    order, in which those numbers ascend. No n-gram spans two texts; a text longer than a slice comes in several."""
+    held, of, size = [], [], 0
 
+    def flush():
+        lowered = [t.lower() + "\n" for t in held]  # the line end closes a text's last run of letters
+        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _letters()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        owner = np.repeat(np.array(of, np.int64), [len(t) for t in lowered])
+        return _buckets(np.where(letter, codes, 32)[keep], owner[keep], 0)
 
-def _groups(texts: list[str]):
-    held, of, size = [], [], 0
-    for i, piece in _pieces(texts):
-        held.append(piece)
+    for i, t in enumerate(texts):
+        if len(t) > _SLICE:
+            tail, letter = np.zeros(0, np.uint32), False
+            for at in range(0, len(t), _SLICE):
+                piece = t[at : at + _SLICE] + ("\n" if at + _SLICE >= len(t) else "")
+                codes = _normal(piece, letter)
+                letter = bool(_letters()[min(ord(piece.lower()[-1]), 0x10FFFF)])
+                joined = np.concatenate((tail, codes))
+                yield _buckets(joined, np.full(len(joined), i), len(tail))
+                tail = joined[-(max(ORDERS) - 1) :]
+            continue
+        held.append(t)
         of.append(i)
-        size += len(piece)
+        size += len(t)
         if size >= _SLICE:
-            yield of, held
+            yield flush()
             held, of, size = [], [], 0
     if held:
-        yield of, held
+        yield flush()
 
 
 def training_row(doc_id: str = "doc_id") -> Column:
@@ -109,16 +123,31 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[lis
     width = len(languages)
 
     def count(batches):
-        total = np.zeros((width, BUCKETS), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            return keys[first], np.add.reduceat(n, first)
+
+        def rows(keys, n):
+            return pa.RecordBatch.from_pydict({"l": pa.array(keys // BUCKETS, pa.int32()), "b": pa.array(keys % BUCKETS, pa.int32()), "n": pa.array(n)})
+
         for batch in batches:
-            of_language = batch.column("l").to_numpy()
-            for of, texts in _groups(batch.column("text").to_pylist()):
-                bucket, owner = grams(texts)
-                total += np.bincount(of_language[np.array(of)][owner] * BUCKETS + bucket, minlength=width * BUCKETS).reshape(width, BUCKETS)
-        l, b = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"l": pa.array(l, pa.int32()), "b": pa.array(b, pa.int32()), "n": pa.array(total[l, b])})
-
-    flat = chosen.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+            of_language = batch.column("l").to_numpy().astype(np.int64)
+            for bucket, owner, _ in grams(batch.column("text").to_pylist()):
+                if len(bucket):
+                    held.append(np.unique(of_language[owner] * BUCKETS + bucket, return_counts=True))
+                if sum(len(k) for k, _ in held) > 1 << 22:
+                    held = [merged()]
+                    if len(held[0][0]) > 1 << 21:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*merged())
+
+    flat = chosen.mapInArrow(lean(count), "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros((width, BUCKETS), np.int64)
     matrix[flat["l"].to_numpy(), flat["b"].to_numpy()] = flat["n"].to_numpy()
     log = np.log(matrix + SMOOTHING) - np.log(matrix.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
@@ -139,16 +168,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     def run(batches):
         languages, prior, matrix = shared.value
         names = np.array([*languages, UNKNOWN], dtype=object)
+        block = max(1 << 12, (1 << 22) // max(1, len(languages)))
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             sums = np.zeros((len(texts), len(languages)))
             seen = np.zeros(len(texts), np.int64)
-            for of, held in _groups(texts):
-                bucket, owner = grams(held)
-                rows = np.array(of)[owner]
-                seen += np.bincount(rows, minlength=len(texts))
-                for l in range(len(languages)):
-                    sums[:, l] += np.bincount(rows, weights=matrix[bucket, l], minlength=len(texts))
+            for bucket, owner, firsts in grams(texts):
+                for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+                    for at in range(a, b, block):
+                        rows, of = matrix[bucket[at : min(b, at + block)]], owner[at : min(b, at + block)]
+                        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                        sums[of[first]] += np.add.reduceat(rows, first, axis=0, dtype=np.float64)
+                        seen[of[first]] += np.diff(np.append(first, len(of)))
             lettered = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
             known = (seen > 0) & lettered & (len(languages) > 0)
             best, score = np.full(len(texts), len(languages)), np.zeros(len(texts))
@@ -165,4 +196,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     schema = StructType([
         docs.schema["doc_id"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
-    return docs.select("doc_id", held.alias("held_out"), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select("doc_id", held.alias("held_out"), F.col("text").alias("__text")).mapInArrow(lean(run), schema)

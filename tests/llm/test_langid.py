@@ -1,5 +1,8 @@
+import math
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -31,15 +34,61 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert got[None].held_out
 
 
-def test_matches_slow_counts(spark):
-    texts = ["Ab, c", "", "x", "ÄÖ ü1ü"]
-    bucket, owner = langid.grams(texts)
+def slow_grams(text):
+    joined = "".join(w + " " for w in "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split(" ") if w)
+    return Counter(joined[i : i + n] for n in langid.ORDERS for i in range(len(joined) - n + 1))
+
+
+def slow_bucket(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 & (1 << 64) - 1) ^ ord(c)
+    x = (h + len(gram)) & (1 << 64) - 1
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor & (1 << 64) - 1
+    return x % langid.BUCKETS
+
+
+def slow_buckets(text):
+    found = Counter()
+    for gram, n in slow_grams(text).items():
+        found[slow_bucket(gram)] += n
+    return found
+
+
+@pytest.mark.parametrize("size", [langid._SLICE, 16, 5])
+def test_matches_slow_counts(size, monkeypatch):
+    monkeypatch.setattr(langid, "_SLICE", size)
+    texts = ["Ab, c", "", "x", "ÄÖ ü1ü", "a long text of more words, than 16 characters -- hold... yes", "123", "nospaceswithinthisverylongwordatall" * 3]
+    got = [Counter() for _ in texts]
+    for bucket, owner, _ in langid.grams(texts):
+        for b, i in zip(bucket.tolist(), owner.tolist(), strict=True):
+            got[i][b] += 1
+    assert got == [slow_buckets(t) for t in texts]
+
+
+def test_predictions_match_the_slow_posterior(spark):
+    given = rows(90) + [(500, "der the και", None, ""), (500, "der the και", None, ""), (501, "x", "en", "")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, lang_pred string")
+    counts, docs_of = {}, Counter()
+    for i, text, lang, _ in given:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts.setdefault(lang, Counter()).update(slow_buckets(text))
+            docs_of[lang] += 1
+    total = sum(docs_of.values())
     want = []
-    for t in texts:
-        t = "".join(c if c.isalpha() else " " for c in t.lower()).split(" ")
-        joined = "".join(w + " " for w in t if w)
-        want.append(sum(max(0, len(joined) - n + 1) for n in langid.ORDERS))
-    assert [int((owner == i).sum()) for i in range(len(texts))] == want and len(bucket) == sum(want)
+    for i, text, _, _ in given:
+        found = slow_buckets(text)
+        logs = {}
+        for lang, c in counts.items():
+            size = sum(c.values()) + langid.SMOOTHING * langid.BUCKETS
+            logs[lang] = sum(n * math.log((c[b] + langid.SMOOTHING) / size) for b, n in found.items())
+        prior = {lang: math.log(n / total) for lang, n in docs_of.items()}
+        best = max(sorted(logs), key=lambda x: logs[x] + prior[x])
+        spread = {lang: math.exp((logs[lang] - logs[best]) / math.sqrt(sum(found.values())) + prior[lang] - prior[best]) for lang in logs}
+        want.append((i, best, round(spread[best] / sum(spread.values()), 4)))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.predict(docs, langid.train(docs)).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_empty_table(spark):
