@@ -14,7 +14,7 @@ import numpy as np
 from inkwell.llm.bytewords import hash_slices
 from inkwell.llm.pretoken import pretokens
 
-MEMORY = 3_000_000
+MEMORY = 1_500_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -29,23 +29,24 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.uint32)
+        self.counts = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def _call(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        made = []
-        for k in range(0, len(texts), 20_000):
-            made += self._call(texts[k : k + 20_000])
         if len(self.keys) + len(keys) > MEMORY:
             self.forget()
-        counts = np.fromiter(map(len, made), np.int32, len(made))
-        flat = np.fromiter((x for ids in made for x in ids), np.uint32, int(counts.sum()))
-        at = np.cumsum(counts, dtype=np.int64) - counts + len(self.ids)
-        self.ids = np.concatenate((self.ids, flat))
+        sizes, flat = [], [self.ids]
+        for k in range(0, len(texts), 4_000):
+            made = self._call(texts[k : k + 4_000])
+            sizes.append(np.fromiter(map(len, made), np.uint32, len(made)))
+            flat.append(np.fromiter((x for ids in made for x in ids), self.ids.dtype, int(sizes[-1].sum())))
+        counts = np.concatenate(sizes)
+        at = (np.cumsum(counts, dtype=np.int64) - counts + len(self.ids)).astype(np.uint32)
+        self.ids = np.concatenate(flat)
         keys, at, counts = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.counts, counts)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.counts = keys[order], at[order], counts[order]
@@ -84,10 +85,10 @@ class Encoder:
             self._learn(keys[new], words)
             places, _ = self._find(keys)
         counts = self.counts[places][inverse].astype(np.int64)
-        begin = self.at[places][inverse]
+        begin = self.at[places][inverse].astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1])
-        ids = self.ids[np.repeat(begin - (ends - counts), counts) + np.arange(total)]
+        ids = self.ids[np.repeat(begin - (ends - counts), counts) + np.arange(total)].astype(np.uint32)
         upto = np.concatenate((np.zeros(1, np.int64), ends))
         return ids, upto[firsts[1:]] - upto[firsts[:-1]]
 

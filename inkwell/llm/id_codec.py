@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import bytewords
 from inkwell.llm.encoder import encoder
-from inkwell.session import materialize, remove_path, scratch_path
+from inkwell.session import materialize, remove_path, scratch_path, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -97,7 +97,7 @@ def _encode_part(folder: str, path: str, end_id: int | None):
 
         for batch in batches:
             numbers = batch.column("doc_id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            for a, b, buffer, offsets in bytewords.slices_of(batch.column("__text"), 4 << 20):
+            for a, b, buffer, offsets in bytewords.slices_of(batch.column("__text"), 1 << 20):
                 flat = buffer.tobytes()
                 ids, counts = tokenizer.encode([flat[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
                 if end_id is not None:
@@ -159,11 +159,12 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = END_
         F.col("doc_id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__h"), F.pmod(F.monotonically_increasing_id(), F.lit(1024)).alias("__m"))
     parts = max(keyed.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     work = scratch_path(spark, "plain-ids")
-    plain = materialize(
-        keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "__text")
-        .mapInArrow(_encode_part(work, path, end_id), _FILES), "plain")
+    with small_batches(spark):
+        plain = materialize(
+            keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "__text")
+            .mapInArrow(bytewords.lean(_encode_part(work, path, end_id)), _FILES), "plain")
     tasks = 2 * spark.sparkContext.defaultParallelism  # each brings one row for each id at most
-    counted = _dealt(plain.select("path"), tasks).mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = _dealt(plain.select("path"), tasks).mapInArrow(bytewords.lean(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counted.orderBy(F.col("n").desc(), "id").toArrow()  # at most the vocabulary's size
     by_rank = ranked["id"].to_numpy().astype(np.uint32)
     out, _ = bytewords.open_out(folder, "ranks")
@@ -184,7 +185,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = END_
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([row["part"]], pa.int32()), "path": [url], "n_docs": [row["n_docs"]], "n_ids": [row["n_ids"]]})
 
-    written = materialize(_dealt(plain).mapInArrow(shards, _FILES), "shards")
+    written = materialize(_dealt(plain).mapInArrow(bytewords.lean(shards), _FILES), "shards")
     remove_path(spark, work)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -214,7 +215,7 @@ def read_ids(spark: SparkSession, folder: str, shards: DataFrame, digest: bool =
                     start += int(ends[-1]) if len(ends) else 0
 
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return _dealt(shards).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return _dealt(shards).mapInArrow(bytewords.lean(run), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def _ranks_file(folder: str) -> str:

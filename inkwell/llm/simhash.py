@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm import bytewords
 from inkwell.operators.graph import components
-from inkwell.session import fresh, materialize
+from inkwell.session import fresh, materialize, scratch_path, small_batches
 
 SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*fields, StructField("fp", LongType())])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(bytewords.lean(run), schema)
 
 
 def budgets(radius: int = RADIUS) -> list[int]:
@@ -138,7 +139,8 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _grouped(docs: DataFrame, radius: int, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """``keep`` and fp of every row; and fp, the least doc_id and the component's root (one of its fingerprints) of every fingerprint."""
-    marked = materialize(fingerprints(docs, keep=keep), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = materialize(fingerprints(docs, keep=keep), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     edges = links(classes.select("fp"), radius)
     parts = components(edges)
@@ -167,13 +169,64 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def only_rows(numbered: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows of a stored table whose number ``row`` (of monotonically_increasing_id) stands in ``kept``, without a shuffle of the table: for
+    each partition that gave numbers a bitmap of the kept ones is written to the shared folder, and whoever reads rows of it looks there.
+    Each bitmap has a bit for each row of one partition; the driver sees one file name for each partition."""
+    spark = numbered.sparkSession
+    folder = scratch_path(spark, "bitmaps")
+
+    def write(batches):
+        part, held = None, []
+
+        def flush():
+            at = np.concatenate(held)
+            bits = np.zeros((int(at.max()) >> 3) + 1, np.uint8)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            out, url = bytewords.open_out(folder, f"part-{part:08d}")
+            with out:
+                out.write(bits.tobytes())
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [url]})
+
+        for batch in batches:
+            numbers = batch.column("row").to_numpy()
+            parts = numbers >> 33
+            for p in np.unique(parts).tolist():
+                if p != part and held:
+                    yield flush()
+                    held = []
+                part = p
+                held.append(numbers[parts == p] & ((1 << 33) - 1))
+        if held:
+            yield flush()
+
+    by_part = kept.select(F.col(row).alias("row")).repartition(F.shiftright("row", 33)).sortWithinPartitions("row")
+    files = materialize(by_part.mapInArrow(write, "part int, path string"), "bitmaps")
+    paths = spark.sparkContext.broadcast({p: url for p, url in files.collect()})
+
+    def read(batches):
+        part, bits = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            numbers = batch.column(row).to_numpy()
+            parts, at = numbers >> 33, numbers & ((1 << 33) - 1)
+            keep = np.zeros(len(numbers), bool)
+            for p in np.unique(parts).tolist():
+                if p != part:
+                    part, bits = p, np.frombuffer(bytewords.read_all(paths.value[p]), np.uint8) if p in paths.value else bits[:0]
+                mine = np.flatnonzero((parts == p) & (at >> 3 < len(bits)))
+                keep[mine] = (bits[at[mine] >> 3] >> (at[mine] & 7)) & 1
+            yield batch.filter(pa.array(keep))
+
+    return numbered.mapInArrow(bytewords.lean(read), numbered.schema)
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns kept, one for each near-duplicate component: that of its smallest
     doc_id, null ids last. Of rows with that doc_id in the component the one least by text hash, then text length, stays;
     if such rows agree in their whole text, one of them, whichever it be.
 
     Rows are told apart by their own number, not by doc_id: null ids and texts that share a doc_id each count in the component of
-    their own text. Null and empty texts are one component, so one of them stays. An empty table gives no rows; columns may have any name.
+    their own text. Texts are not shuffled. Null and empty texts are one component, so one of them stays. An empty table gives no rows; columns may have any name.
     Components meet by partial aggregates, so a group of copies counts once for each task.
     """
     row, th, size = (fresh(docs, x) for x in ("row", "th", "size"))
@@ -184,4 +237,4 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     firsts = marked.groupBy("fp").agg(F.min(order).alias("m"))  # one row for each fingerprint before the join
     kept = firsts.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
     kept = materialize(kept.select(F.col("m.row").alias(row)), "kept")
-    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return only_rows(numbered, row, kept).select(*[F.col(f"`{c}`") for c in docs.columns])

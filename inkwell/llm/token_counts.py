@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from inkwell.llm.bytewords import slices_of
+from inkwell.llm.bytewords import lean, slices_of
 from inkwell.llm.pretoken import pretokens
 
 LIMIT = 1024
 #: About what a worker's states and transitions may take before they are dropped and compiled anew.
-MOST_BYTES = 192 << 20
+MOST_BYTES = 384 << 20
 LONG = 2048  # bytes; longer pre-tokens are counted in chunks
 CHUNK = 512
 _ROUNDS = 32
@@ -295,4 +295,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(offsets)), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
 
     schema = StructType([docs.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
-    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select("doc_id", F.col("text").alias("__text")).mapInArrow(lean(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from inkwell.llm.bytewords import mix
+from inkwell.llm.bytewords import lean, mix
 from inkwell.llm.native_text import broadcast_if_small
-from inkwell.session import materialize
+from inkwell.session import materialize, small_batches
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -307,8 +307,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "seen": pa.array(seen[at]), "positive": pa.array(positive[at])})
 
-    made = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text").mapInArrow(told_features, "toxic int, f binary, g binary")
-    made = materialize(made, "features")
+    made = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text").mapInArrow(lean(told_features), "toxic int, f binary, g binary")
+    with small_batches(docs.sparkSession):
+        made = materialize(made, "features")
     told = made.groupBy("toxic").agg(F.count(F.lit(1)), F.count("g")).collect()
     n1, n0 = (sum(r[1] for r in told if r[0] == label) for label in (1, 0))
     weights = np.zeros(BUCKETS, np.float32)
@@ -316,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(weights, float(np.log(share / (1 - share))), terms)
     # At most BUCKETS rows, whatever the corpus.
-    told_counts = made.mapInArrow(counted, "bucket int, seen long, positive long").groupBy("bucket").agg(
+    told_counts = made.mapInArrow(lean(counted), "bucket int, seen long, positive long").groupBy("bucket").agg(
         F.sum("seen").alias("seen"), F.sum("positive").alias("positive")).where("seen >= 3").toArrow()
     bucket, seen, positive = (told_counts[c].to_numpy() for c in ("bucket", "seen", "positive"))
     order = np.argsort(bucket)
@@ -395,7 +396,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -408,4 +409,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in _portions(batches):
             yield batch.filter(pa.array(score(batch.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -103,3 +103,11 @@ def test_drop_tells_rows_apart_without_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=str)
     want = [(None, t) for i, t in enumerate(lone) if i != 1] + [(4, lone[1])] + [(5, t) for t in shared]
     assert got == sorted(want, key=str)
+
+
+def test_only_the_named_rows_stay(spark):
+    rows = spark.range(5000).repartition(7).withColumn("n", F.monotonically_increasing_id())
+    stored = simhash.materialize(rows, "test")
+    kept = stored.where("id % 3 = 0 or id > 4990").select("n")
+    assert sorted(r.id for r in simhash.only_rows(stored, "n", kept).collect()) == [i for i in range(5000) if i % 3 == 0 or i > 4990]
+    assert simhash.only_rows(stored, "n", kept.limit(0)).count() == 0
