@@ -10,6 +10,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkwell.functions.numerals import english_number
 from inkwell.functions.text import fold, squeeze
 
 # Units and their worth, and how amounts are written.
@@ -83,13 +84,52 @@ def format_vnd(x: Column) -> Column:
     return F.concat(F.translate(F.format_number(x, 0), ",", "."), F.lit(" ₫"))
 
 
-def format_usd_compact(x: Column) -> Column:
-    """``$950``, ``$1.2k``, ``$15M``, ``$2B``: one decimal below ten of a unit, none above."""
+def _tenth(x: Column) -> Column:
+    """Rounded half up to one decimal, without a trailing zero."""
+    return F.regexp_replace(F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10), r"\.0\z", "")
+
 
-    def short(scale: float, mark: str) -> Column:
-        v = x / scale
-        shown = F.when(v < 10, F.regexp_replace(F.format_string("%.1f", v), r"\.0$", "")).otherwise(F.format_string("%.0f", v))
-        return F.concat(F.lit("$"), shown, F.lit(mark))
+def format_vnd_compact(x: Column) -> Column:
+    """``500k``, ``1,2tr``, ``1,5 tỷ``: one decimal, the next unit where rounding reaches a thousand; whole numbers below one."""
+    n = F.floor(x + 0.5)
+    size = F.abs(n).cast("double")
+    sign = F.when(n < 0, "-").otherwise("")
+    rounded = lambda unit: F.floor(size / unit * 10 + 0.5) / 10
+    billions = rounded(1e9)
+    whole = F.translate(F.format_number(F.floor(billions), 0), ",", ".")
+    decimal = F.regexp_replace(F.regexp_extract(F.format_string("%.1f", billions), r"(\.\d)\z", 1), r"\.", ",")
+    return F.concat(sign, (
+        F.when(size < 1e3, F.format_string("%.0f", size)).when((size < 1e6) & (rounded(1e3) < 1000), F.concat(F.translate(_tenth(size / 1e3), ".", ","), F.lit("k")))
+        .when((size < 1e9) & (rounded(1e6) < 1000), F.concat(F.translate(_tenth(size / 1e6), ".", ","), F.lit("tr")))
+        .otherwise(F.concat(whole, F.when(decimal == ",0", "").otherwise(decimal), F.lit(" tỷ")))))
 
-    return F.when(x >= 1e9, short(1e9, "B")).when(x >= 1e6, short(1e6, "M")).when(x >= 1e3, short(1e3, "k")).otherwise(
-        F.concat(F.lit("$"), F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")))
+
+def format_usd_compact(x: Column) -> Column:
+    """``$950``, ``$12.50``, ``$1.2k``, ``$15M``, ``$1.5B``: cents below a thousand, else one decimal, the next unit where rounding reaches a thousand."""
+    size, sign = F.abs(x), F.when(x < 0, "-").otherwise("")
+    rounded = lambda unit: F.floor(size / unit * 10 + 0.5) / 10
+    return F.concat(sign, F.lit("$"), (
+        F.when(size < 1e3, F.regexp_replace(F.format_string("%.2f", F.floor(size * 100 + 0.5) / 100), r"\.00\z", ""))
+        .when((size < 1e6) & (rounded(1e3) < 1000), F.concat(_tenth(size / 1e3), F.lit("k")))
+        .when((size < 1e9) & (rounded(1e6) < 1000), F.concat(_tenth(size / 1e6), F.lit("M"))).otherwise(F.concat(_tenth(size / 1e9), F.lit("B")))))
+
+
+# Currency marks of English spans.
+_MARKS = r"(?<=\d)\s?(?:us|s|a|c)?\$|\b(?:us|s|a|c)\$|[$£€₹¥₱]|(?<![a-z])(?:bucks?|bux|dollars?|usd|sgd|gbp|eur|inr|quid|pounds?|euros?|rupees?|rs|aed|cents?)\b"
+
+
+def amount_from_english_span(x: Column) -> Column:
+    """The number that a span stands for, marks included: ``$20``, ``rs 500``, ``twenty bucks``; ``50 cents`` is 0.5. Null where the rest is no amount."""
+    text = F.btrim(F.lower(x))
+    rest = F.btrim(F.regexp_replace(text, _MARKS, ""))
+    value = F.when(rest.rlike(r"\d"), amount_from_english(rest)).otherwise(english_number(rest))
+    return F.when(rest != "", F.when(text.rlike(r"(?<![a-z])cents?\b"), F.round(value) / 100).otherwise(value))
+
+
+def read_english_value(span: Column, note: Column) -> Column:
+    """(value, amount) of a model's span: its longest leading part, cut at spaces, that reads as an amount; else what a scan of the note finds."""
+    words = F.split(F.btrim(span), " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    told = F.filter(F.transform(parts, lambda p: F.struct(p.alias("value"), amount_from_english_span(p).alias("amount"))), lambda p: p["amount"].isNotNull())
+    found = find_english_value(note)
+    return F.coalesce(F.get(told, F.lit(0)), F.struct(found.alias("value"), amount_from_english(found).alias("amount")))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +55,26 @@ def split_groups(groups: DataFrame, key: str, seed: str, test: float = 0.1, vali
 
 
 def pick_diverse(items: Sequence[tuple[str, Sequence[str]]], n: int, seed: str) -> list[str]:
-    """Greedy diverse choice of n ids from (id, features): each step takes the item with the largest sum of 1 / (1 + times that a
-    feature was taken), ties by seeded hash."""
-    left = sorted(items, key=lambda x: hashlib.sha256(f"{seed}:{x[0]}".encode()).hexdigest())
-    taken: Counter[str] = Counter()
-    out: list[str] = []
-    while left and len(out) < n:
-        at = max(range(len(left)), key=lambda i: (sum(1 / (1 + taken[f]) for f in left[i][1]), -i))
-        i, features = left.pop(at)
-        out.append(i)
-        taken.update(features)
-    return out
+    """n ids of (id, features), each the one that adds most: an item is worth the sum over its features of the harmonic share 1 / (1 + k), where
+    k items with that feature are chosen already; among equals the first in seeded hash order. The order of ``items`` has no effect."""
+    if not items:
+        return []
+    keys = np.array([hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() for i, _ in items])
+    ranked = np.argsort(keys, kind="stable")
+    names = {f: c for c, f in enumerate(sorted({f for _, fs in items for f in fs}, key=str))}
+    holds = np.zeros((len(items), len(names)))
+    for row, at in enumerate(ranked):
+        for f in items[at][1]:
+            holds[row, names[f]] += 1
+    chosen, used = [], np.zeros(len(names))
+    worth = np.zeros(len(items))
+    for _ in range(min(n, len(items))):
+        worth = np.where(worth == -np.inf, -np.inf, np.round(holds @ (1 / (1 + used)), 12))
+        row = int(worth.argmax())  # the first of equals
+        chosen.append(items[ranked[row]][0])
+        used += holds[row]
+        worth[row] = -np.inf
+    return chosen
 
 
 def diverse_sample(rows: DataFrame, by: str, key: str, features: str, n: int, seed: str) -> DataFrame:

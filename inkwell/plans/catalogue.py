@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from inkwell.plans import contract_queries, decode_queries, join_queries, metric_queries, more_queries, rollup_queries, text_queries, value_queries  # noqa: F401
+    from inkwell.plans import amount_queries, contract_queries, decode_queries, join_queries, metric_queries, more_queries, rollup_queries, text_queries, value_queries  # noqa: F401
