@@ -394,3 +394,46 @@ def tfidf_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to each benchmark item by TF-IDF cosine."""
     tokens = lambda name, key: table(spark, sf_dir, name).select(key, F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), F.lower).alias("tokens"))
     return similar.tfidf_nearest(tokens("benchmark", "item_id"), tokens("documents", "doc_id"), 3, "item_id", "doc_id")
+
+
+_BAG_SQL = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda w: w NOT IN ('cho', 'minh', 'tao', 'toi', 'lai', 'roi', 'nha', 'ok', 'da', 'dc', 'duoc') AND w <> '')), ' ')"
+
+
+def _leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, group): documents that must stay together, since they share a bag of words in normal form, a set of words, or are similar; the least id names
+    the group. Copies are linked to one of them only, so a group of n costs n edges."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    members, pairs = _document_classes(spark, sf_dir)
+    bags = docs.select("doc_id", F.xxhash64(T.bag_key(T.normalize(F.col("text")))).alias("bag"))
+    firsts = bags.groupBy("bag").agg(F.min("doc_id").alias("first"))
+    edges = bags.join(firsts, "bag").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).union(members.select("id", "rep")).union(pairs.select("a", "b"))
+    parts = graph.components(edges)
+    return docs.select("doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.least("doc_id", F.coalesce("component", "doc_id")).alias("group"))
+
+
+@query(rf"""
+WITH RECURSIVE {_CLASSES}, k AS (SELECT doc_id, {_BAG_SQL.format(NORMAL.format('text'))} AS bag FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY bag) AS first FROM k),
+e AS (SELECT a, b FROM pairs UNION SELECT doc_id, rep FROM s JOIN c USING (t) UNION SELECT doc_id, first FROM f), y AS (SELECT a AS x, b AS y FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r(node, root) AS (SELECT doc_id, doc_id FROM k UNION SELECT y.y, r.root FROM r JOIN y ON y.x = r.node AND r.root < y.y)
+SELECT node AS doc_id, min(root) AS "group" FROM r GROUP BY node""")
+def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leakage group of every document."""
+    return _leakage_groups(spark, sf_dir)
+
+
+@query()
+def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole leakage groups of documents dealt to splits by language, with every language in each held-out split."""
+    from inkwell.operators import selection, splits
+
+    rows = _leakage_groups(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("group", F.coalesce("lang", F.lit("none")).alias("kind"))
+    told = splits.leakage_safe_split(rows, "group", "kind", "documents").select("group", "n", "split")
+    return selection.ensure_coverage(told, rows)
+
+
+@query()
+def near_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that ties each benchmark item to a document, sequences included."""
+    from inkwell.operators import sequences
+
+    return sequences.first_rules(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), "text"))

@@ -72,9 +72,14 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy(F.when(copy, "copy").otherwise("first").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(F.substring("id", 1, 14)).alias("least_id"))
 
 
-@query()
+@query(r"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, event_type || '|' || COALESCE(round(value)::BIGINT::VARCHAR || '.0', '') AS mark, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g(user_id, i, event_id, tokens, last, seen, admitted) AS (
+  SELECT user_id, i, event_id, 2.0::DOUBLE, ms, [mark], true FROM e WHERE i = 1 UNION ALL
+  SELECT n.user_id, n.i, n.event_id, CASE WHEN n.tried THEN n.bucket - CASE WHEN n.bucket >= 1 THEN 1 ELSE 0 END ELSE n.tokens END, CASE WHEN n.tried THEN n.ms ELSE n.last END, CASE WHEN n.tried AND n.bucket >= 1 THEN list_append(n.seen, n.mark) ELSE n.seen END, n.tried AND n.bucket >= 1
+  FROM (SELECT e.*, g.tokens, g.last, g.seen, NOT list_contains(g.seen, e.mark) AND len(g.seen) < 10 AS tried, least(3.0, g.tokens + (e.ms - g.last) / 5000.0) AS bucket FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1) n)
+SELECT user_id, event_id, admitted FROM g""")
 def error_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event gate over each user's events."""
     events = table(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), T.event_fingerprint(F.col("event_type"), F.round("value").cast("string")).alias("fingerprint"))
+        "user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.concat_ws("|", "event_type", F.coalesce(F.round("value").cast("string"), F.lit(""))).alias("fingerprint"))
     return gate(events)

@@ -35,6 +35,20 @@ def admit(events: Iterable[tuple[int, str]], state: tuple | None = None) -> tupl
     return out, (tokens, last, tuple(sorted(passed)))
 
 
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decisions over frames in order of user, time and event: one user's bucket is held at a time, so a user of any number of events fits."""
+    user, state = None, None
+    for frame in frames:
+        parts = []
+        for key, part in frame.groupby("user_id", sort=False, dropna=False):
+            if key != user:
+                user, state = key, None
+            got, state = admit(zip(part["ms"].tolist(), part["fingerprint"], strict=True), state)
+            parts.append(pd.DataFrame({"user_id": part["user_id"], "event_id": part["event_id"], "admitted": got}))
+        if parts:
+            yield pd.concat(parts)
+
+
 def _decide(frame: pd.DataFrame, state: tuple | None = None) -> tuple[pd.DataFrame, tuple]:
     frame = frame.sort_values(["ms", "event_id"])
     got, state = admit(zip(frame["ms"].tolist(), frame["fingerprint"], strict=True), state)
@@ -44,12 +58,13 @@ def _decide(frame: pd.DataFrame, state: tuple | None = None) -> tuple[pd.DataFra
 def gate(events: DataFrame) -> DataFrame:
     """(user_id, event_id, admitted) for events (user_id, event_id, ms, fingerprint), each user's in order of ms and event_id.
 
-    On a table a user's events are folded in one go; since only CAP events of a user can ever pass and later copies of a
-    fingerprint never do, the fold is cheap, but a user's rows do meet in one task. On a stream the state of a user is a
+    On a table events are sorted by user and time and folded batch by batch, so no user's events are held together; they do
+    pass through one task, since each decision needs the one before. On a stream the state of a user is a
     bucket and at most CAP fingerprints, and events are decided by arrival of their micro-batch.
     """
     if not events.isStreaming:
-        return events.groupBy("user_id").applyInPandas(lambda frame: _decide(frame)[0], _ROWS)
+        dealt = events.repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id")
+        return dealt.select("user_id", "event_id", "ms", "fingerprint").mapInPandas(_fold, _ROWS)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
