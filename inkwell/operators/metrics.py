@@ -41,9 +41,3 @@ def kappa(cells: DataFrame) -> DataFrame:
     chance = a.join(b, "label").agg(F.coalesce(F.sum(F.col("a").cast("double") * F.col("b")), F.lit(0.0)).alias("c"))
     po, pe = F.col("same") / F.col("n"), F.col("c") / (F.col("n").cast("double") * F.col("n"))
     return one.crossJoin(chance).select("n", po.alias("agreement"), F.try_divide(po - pe, 1 - pe).alias("kappa"))  # one row each
-
-
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at rank ceil(p n) of all values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.size(ordered) * p)).cast("int"))

@@ -38,24 +38,9 @@ def leakage_safe_split(rows: DataFrame, group: str, stratum: str, seed: str) ->
     return sizes.groupBy("stratum").applyInPandas(choose, f"{group} long, n long, stratum string, split string")
 
 
-def cover(splits: DataFrame, group: str, kinds: DataFrame, kind: str, least_groups: int = 3) -> DataFrame:
-    """Kinds that a held-out split lacks although at least ``least_groups`` groups hold them: (kind, split, donor): the smallest train
-    group that could move there."""
-    held = kinds.select(group, kind).distinct().join(splits, group)
-    known = held.groupBy(kind).agg(F.count(F.lit(1)).alias("g")).where(F.col("g") >= least_groups)
-    needed = known.select(kind, F.explode(F.array(*map(F.lit, NAMES[1:]))).alias("split")).join(held.select(kind, "split").distinct(), [kind, "split"], "left_anti")
-    donors = held.where("split = 'train'").groupBy(kind).agg(F.min(F.struct("n", group)).alias("d"), F.count(F.lit(1)).alias("k")).where("k >= 2")
-    return needed.join(donors, kind).select(kind, "split", F.col(f"d.{group}").alias("donor"))
-
-
 def review_plan(rows: DataFrame, key: str, must: str, hard: str, seed: str, audit_rate: float = 0.1) -> DataFrame:
     """(key, action): must rows are all reviewed, hard ones too if longer than the median, of the rest a seeded share is audited, others are accepted."""
     told = rows.crossJoin(F.broadcast(rows.agg(F.percentile("n", 0.5).alias("median"))))  # one row
     unit = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
     action = F.when(F.col(must), "must").when(F.col(hard) & (F.col("n") > F.col("median")), "hard").when(unit < audit_rate, "audit").otherwise("auto")
     return told.select(key, action.alias("action"))
-
-
-def greedy_quota(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """The first n rows of each stratum by ``order``."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("position") <= n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import decode as D
 from inkwell.functions import spans as S
 from inkwell.operators import splits
+from inkwell.operators.ranks import number_rows
 from inkwell.plans.catalogue import query
 from inkwell.plans.metric_queries import _RULE, ruled
 from inkwell.session import table
@@ -66,7 +67,7 @@ SELECT item_id, p::INT AS p, id FROM t JOIN n ON w = l[p]""")
 def remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as contiguous ids of the kept vocabulary, in order of name."""
     tokens = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("p", "w")).withColumn("p", F.col("p") + 1)
-    ids = tokens.select("w").distinct().withColumn("id", (F.row_number().over(Window.orderBy("w")) - 1).cast("long"))
+    ids = number_rows(tokens.select("w").distinct(), "w", name="id")
     return tokens.join(ids, "w").select("item_id", "p", "id")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators.ranks import number_rows
+from inkwell.operators.similar import once
 from inkwell.plans.catalogue import query
 from inkwell.session import table
 
@@ -47,12 +49,14 @@ WITH k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY
   source || '-' || substr(sha256(source || chr(31) || text), 1, 12) AS base FROM documents)
 SELECT doc_id, base || CASE WHEN copy > 1 THEN '-d' || copy ELSE '' END AS content_id, copy::INT AS copy FROM k""")
 def ingest_content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids from content: source and text hash, and a suffix for the k-th copy."""
-    docs = table(spark, sf_dir, "documents")
-    copy = F.row_number().over(Window.partitionBy(F.sha2("text", 256), "text").orderBy("doc_id"))
-    base = F.concat_ws("-", "source", F.substring(F.sha2(F.concat("source", F.lit("\x1f"), "text"), 256), 1, 12))
-    return docs.select("doc_id", base.alias("base"), copy.alias("copy")).select(
-        "doc_id", F.when(F.col("copy") > 1, F.concat("base", F.lit("-d"), F.col("copy").cast("string"))).otherwise(F.col("base")).alias("content_id"), "copy")
+    """Ids from content: source and text hash, and a suffix for the k-th copy. Copies are numbered by a sort over digests, which may spread the copies of one
+    text over several tasks; texts are not shuffled."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.concat_ws("-", "source", F.substring(F.sha2(F.concat("source", F.lit("\x1f"), "text"), 256), 1, 12)).alias("base"))
+    placed = number_rows(docs, "digest", "doc_id", name="place")
+    firsts = placed.groupBy("digest").agg(F.min("place").alias("first"))
+    told = placed.join(firsts, placed["digest"].eqNullSafe(firsts["digest"])).select("doc_id", "base", (F.col("place") - F.col("first") + 1).cast("int").alias("copy"))
+    return told.select("doc_id", F.when(F.col("copy") > 1, F.concat("base", F.lit("-d"), F.col("copy").cast("string"))).otherwise(F.col("base")).alias("content_id"), "copy")
 
 
 @query("""
@@ -178,12 +182,12 @@ WITH {LINES} SELECT doc_id, line_no::INT AS line_no, {NORMAL.format('line')} AS
   regexp_matches(line, '[^\\x00-\\x7F]') AS accented, {_SQUEEZE.format("regexp_replace(lower(line), '[0-9]+', 'n', 'g')")} AS surface,
   lower(trim(line)) AS exact FROM lines WHERE line <> ''""")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of every line."""
+    """The keys of every line. The normal form is a generated column, so that the bag reads it instead of computing it again."""
     x = F.col("line")
-    bag = T.bag_key(T.normalize(x))
-    return lines(spark, sf_dir).where("line <> ''").select(
-        "doc_id", "line_no", T.normalize(x).alias("normal"), F.when(bag != "", bag).alias("bag"),
-        T.accented(x).alias("accented"), T.surface_pattern(x).alias("surface"), T.exact_key(x).alias("exact"))
+    told = lines(spark, sf_dir).where("line <> ''").select("doc_id", "line_no", "line", once(T.normalize(x)).alias("normal"))
+    told = told.select("*", once(T.bag_key(F.col("normal"))).alias("bag"))
+    return told.select(
+        "doc_id", "line_no", "normal", F.when(F.col("bag") != "", F.col("bag")).alias("bag"), T.accented(x).alias("accented"), T.surface_pattern(x).alias("surface"), T.exact_key(x).alias("exact"))
 
 
 @query("""

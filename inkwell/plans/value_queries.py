@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import amounts
 from inkwell.functions import text as T
+from inkwell.operators.similar import once
 from inkwell.plans.catalogue import query
 from inkwell.plans.text_queries import lines
 from inkwell.session import scratch_path, table
@@ -40,7 +41,7 @@ def amounts_vi_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def amounts_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English amounts of every line of every document."""
     value = amounts.find_english_value(F.col("line"))
-    told = lines(spark, sf_dir).select("doc_id", "line_no", value.alias("value")).where("value is not null")
+    told = lines(spark, sf_dir).where(F.col("line").rlike("[0-9]")).select("doc_id", "line_no", once(value).alias("value")).where("value is not null")
     return told.withColumn("amount", amounts.amount_from_english(F.col("value")))
 
 
