@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import amounts
-from inkwell.functions import text as T
 from inkwell.operators.similar import once
 from inkwell.plans.catalogue import query
 from inkwell.plans.text_queries import lines
