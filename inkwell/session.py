@@ -42,15 +42,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Plans that run inside send ``rows`` rows at a time to Python: what workers and the JVM hold of long texts shrinks with it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
+    """Plans that run inside send at most ``rows`` rows and about ``size`` at a time to Python: what workers and the JVM hold of long values
+    shrinks with it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
