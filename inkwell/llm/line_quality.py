@@ -52,10 +52,16 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A null or empty text has no
     words: all counts are 0, base_failed is true, kept false, cleaned empty. Repeated rows repeat; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored, whatever their names.
     """
+    told = _measured(docs, text, keep)
+    return told.select(*[F.col(f"doc.`{c}`").alias(c) for c in keep], *[c for c in told.columns if c != "doc"])
+
+
+def _measured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` as the struct ``doc``, and the measures."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, t.alias("__t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), t.alias("__t"))
     rows = rows.select("*", words(F.col("__t")).alias("__w"), F.split("__t", "\n").alias("__lines"))
     n = F.size("__w")
     hashes = F.when(n >= WINDOW, F.transform(
@@ -79,7 +85,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         places, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
     rows = rows.select(
-        *keep, "cleaned", n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        "doc", "cleaned", n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.regexp_replace("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -90,9 +96,9 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` with their text cleaned, all columns kept."""
-    told = measure(docs, keep=tuple(docs.columns)).where("kept")
-    return told.select(*[F.col("cleaned").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """The kept rows of ``docs`` with their text cleaned, all columns kept; columns may have any name."""
+    told = _measured(docs, "text", tuple(docs.columns)).where("kept")
+    return told.select(*[F.col("cleaned").alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def _sql(pattern: str) -> str:

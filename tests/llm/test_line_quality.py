@@ -38,3 +38,13 @@ def test_lines(spark):
     cleaned = line_quality.clean(docs)
     assert cleaned.columns == docs.columns and sorted(r.doc_id for r in cleaned.collect()) == [1, 3, 3]
     assert line_quality.measure(docs.limit(0)).count() == 0
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    text = "This is a whole sentence of many plain words, and it ends like one.\nfoot | nav | bar | x"
+    rows = [(1, text, "c", 5, True), (2, None, "c", 5, True), (3, "short.", "c", 5, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cleaned string, n_words int, kept boolean")
+    got = line_quality.clean(docs)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [(1, text.split("\n")[0], "c", 5, True)]
+    assert line_quality.clean(docs.limit(0)).count() == 0
