@@ -16,7 +16,15 @@ from inkwell.session import table
 MOVES = [[0.5, 0.0, -9.0], [0.0, -1.0, 0.5], [0.0, 0.0, 0.25]]
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT o_custkey, o_orderpriority AS s, count(*) AS k FROM orders GROUP BY ALL),
+g AS (SELECT o_custkey, SUM(k)::BIGINT AS n, arg_min(s, (-k, s)) AS stratum FROM c GROUP BY o_custkey),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY n DESC, sha256('deal:' || o_custkey)) AS i, SUM(n) OVER (PARTITION BY stratum) AS total FROM g),
+d(stratum, i, a, b, c, o_custkey, n, split) AS (
+  SELECT DISTINCT stratum, 0::BIGINT, (70 * total)::BIGINT, (15 * total)::BIGINT, (15 * total)::BIGINT, NULL::BIGINT, 0::BIGINT, NULL::VARCHAR FROM o UNION ALL
+  SELECT stratum, i, a - CASE WHEN s = 'train' THEN 100 * n ELSE 0 END, b - CASE WHEN s = 'validation' THEN 100 * n ELSE 0 END, c - CASE WHEN s = 'test' THEN 100 * n ELSE 0 END, o_custkey, n, s FROM (
+    SELECT o.stratum, o.i, a, b, c, o.o_custkey, o.n, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'validation' ELSE 'test' END AS s FROM d JOIN o ON o.stratum = d.stratum AND o.i = d.i + 1))
+SELECT o_custkey, n, stratum, split FROM d WHERE i > 0""")
 def leakage_safe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as groups, dealt to splits within their main order priority."""
     return splits.leakage_safe_split(table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"), "o_custkey", "o_orderpriority", "deal")

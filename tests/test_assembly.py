@@ -122,3 +122,21 @@ def test_files(spark, tmp_path):
     assert files.markdown(issues.orderBy("line")).splitlines()[2] == "| 1 | warning | odd |"
     lines = spark.createDataFrame([('{"a": 1},',), ("{",), ("x",), ("",), (None,)], "line string")
     assert [r.a for r in files.permissive_jsonl(lines, "a long").collect()] == [1]
+
+
+def test_split_equals_the_sequential_deal(spark):
+    from inkwell.operators import splits
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(300):
+        kind = rng.choice(["a", "a", "a", "b", None])
+        rows += [(g, kind)] * rng.choice([1, 1, 1, 2, 2, 3, 5, 40])
+    got = splits.leakage_safe_split(spark.createDataFrame(rows, "g long, kind string"), "g", "kind", "s").collect()
+    sizes = Counter(g for g, _ in rows)
+    kinds = {g: k or "" for g, k in rows}
+    want = {}
+    for kind in ("a", "b", ""):
+        want |= splits.deal([(g, n) for g, n in sizes.items() if kinds[g] == kind], "s")
+    assert {r.g: r.split for r in got} == want and {r.g: r.n for r in got} == sizes
+    assert splits.leakage_safe_split(spark.createDataFrame([], "g long, kind string"), "g", "kind", "s").count() == 0
