@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from inkwell.llm import bytewords
-from inkwell.session import materialize, scratch_path
+from inkwell.session import materialize, scratch_path, small_batches
 
 START = np.uint64(0x5D1E5A2B7C3F9E01)
 END = np.uint64(0xA7C1D3E5F70B9D02)
@@ -47,29 +47,43 @@ _ROWS = "kind int, shard int, blob binary"
 
 
 class Table:
-    """A stored table of sorted keys with small numbers: the arrays of the keys' upper 32 and lower bits, one byte for each number, and
-    the numbers of 255 and more beside them. It is read where it lies in a mapped file."""
+    """A stored table of sorted keys with small numbers: the arrays of the keys' upper 32 and lower bits, four or eight bits for each number, and
+    those that don't fit beside them. It is read where it lies in a mapped file."""
 
-    HEAD = struct.Struct("<qqqq")  # keys, bytes of a key's lower part, fields, numbers kept beside
+    HEAD = struct.Struct("<qqqqq")  # keys, bytes of a key's lower part, fields, bits of a number, numbers kept beside
 
     def __init__(self, data: np.ndarray):
-        n, low, self.fields, more = self.HEAD.unpack(data[: self.HEAD.size].tobytes()) if len(data) else (0, 2, 0, 0)
-        cuts = np.cumsum([self.HEAD.size, 4 * n, low * n, self.fields * n, 8 * more, 8 * more]).tolist()
+        n, low, self.fields, self.bits, more = self.HEAD.unpack(data[: self.HEAD.size].tobytes()) if len(data) else (0, 2, 0, 8, 0)
+        cuts = np.cumsum([self.HEAD.size, 4 * n, low * n, (self.fields * n * self.bits + 7) // 8, 8 * more, 8 * more]).tolist()
         part = [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         self.n, self.low_bits = n, 8 * low
         self.high, self.low = part[0].view("<u4"), part[1].view(f"<u{low}")
         self.small, self.places, self.more = part[2], part[3].view("<i8"), part[4].view("<i8")
 
     @classmethod
-    def pack(cls, keys: np.ndarray, low_bits: int, columns: list[np.ndarray]) -> bytes:
-        """The bytes of a table. keys: sorted, of 32 + low_bits bits."""
+    def pack(cls, keys: np.ndarray, low_bits: int, columns: list[np.ndarray], bits: int = 8) -> bytes:
+        """The bytes of a table. keys: sorted, of 32 + low_bits bits. bits: 4 or 8, of the numbers that are not kept beside."""
         flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-        places = np.flatnonzero(flat >= 255)
+        most = (1 << bits) - 1
+        places = np.flatnonzero(flat >= most)
+        small = np.minimum(flat, most).astype(np.uint8)
+        if bits == 4:
+            small = np.concatenate((small, np.zeros(len(small) % 2, np.uint8)))
+            small = small[::2] | small[1::2] << 4
         high, low = (keys >> np.uint64(low_bits)).astype("<u4"), (keys & np.uint64((1 << low_bits) - 1)).astype(f"<u{low_bits // 8}")
         return b"".join([
-            cls.HEAD.pack(len(keys), low_bits // 8, len(columns), len(places)), high.tobytes(), low.tobytes(), np.minimum(flat, 255).astype(np.uint8).tobytes(),
+            cls.HEAD.pack(len(keys), low_bits // 8, len(columns), bits, len(places)), high.tobytes(), low.tobytes(), small.tobytes(),
             places.astype("<i8").tobytes(), flat[places].astype("<i8").tobytes()])
 
+    def _numbers(self, places: np.ndarray) -> np.ndarray:
+        if self.bits == 8:
+            value = self.small[places].astype(np.int64)
+        else:
+            value = (self.small[places >> 1] >> (4 * (places & 1)).astype(np.uint8) & 15).astype(np.int64)
+        large = np.flatnonzero(value == (1 << self.bits) - 1)
+        value[large] = self.more[np.searchsorted(self.places, places[large])]
+        return value
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The fields of sorted keys, as rows; 0 where there is no such key."""
         out = np.zeros((self.fields, len(keys)), np.int64)
@@ -89,11 +103,7 @@ class Table:
             todo = todo[self.high[at[todo]] == high[todo]]
         hit = np.concatenate(hits) if hits else todo
         for f in range(self.fields):
-            place = at[hit] + f * self.n
-            value = self.small[place].astype(np.int64)
-            large = np.flatnonzero(value == 255)
-            value[large] = self.more[np.searchsorted(self.places, place[large])]
-            out[f, hit] = value
+            out[f, hit] = self._numbers(at[hit] + f * self.n)
         return out
 
 
@@ -200,23 +210,30 @@ def _pack_grams(columns: list[np.ndarray], words: np.ndarray, n: np.ndarray) ->
     places, n = places[:, rows], n[rows]
     places[0, 1:] = np.diff(places[0])
     told = _put([_planes(_steps(words[used]), 6)])
-    return struct.pack("<Q", len(told)) + told + _put([_planes(x, 4) for x in (*places, n)])
+    return struct.pack("<QQ", len(told), len(n)) + told + _put([_planes(x, 4) for x in (*places, n)])
 
 
 def _unpack_grams(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sorted words, the columns of places in them, and the counts of all n-grams that ``_pack_grams`` packed in ``blobs``, one blob after
     the other; the list is emptied."""
-    mask, cuts = np.uint64((1 << 48) - 1), [8 + struct.unpack_from("<Q", x)[0] for x in blobs]
-    words = [np.cumsum(_from_planes(_get(x[8:cut])[0], 6), dtype=np.uint64) & mask for x, cut in zip(blobs, cuts, strict=True)]
+    mask, heads = np.uint64((1 << 48) - 1), [struct.unpack_from("<QQ", x) for x in blobs]
+    words = [np.cumsum(_from_planes(_get(x[16 : 16 + size])[0], 6), dtype=np.uint64) & mask for x, (size, _) in zip(blobs, heads, strict=True)]
     every = np.unique(np.concatenate(words))
-    found: list[list[np.ndarray]] = []
-    for held, cut in zip(words[::-1], cuts[::-1], strict=True):
-        told = [_from_planes(y, 4).astype(np.uint32) for y in _get(blobs.pop()[cut:])]
-        told[0] = np.cumsum(told[0], dtype=np.uint32)
+    whole: list[np.ndarray] = []
+    at = 0
+    while blobs:
+        (size, n), held = heads.pop(), words.pop()
+        told = _get(blobs.pop()[16 + size :])
+        if not whole:
+            total = n + sum(k for _, k in heads)
+            whole = [np.empty(total, np.uint32) for _ in told]
         place = np.searchsorted(every, held).astype(np.uint32)
-        found.append([*[place[y] for y in told[:-1]], told[-1]])
-    *columns, n = (np.concatenate([x[i] for x in found]) for i in range(len(found[0])))
-    return every, columns, n
+        for k, (out, data) in enumerate(zip(whole, told, strict=True)):
+            x = _from_planes(data, 4).astype(np.uint32)
+            x = np.cumsum(x, dtype=np.uint32) if k == 0 else x
+            out[at : at + n] = x if k == len(whole) - 1 else place[x]
+        at += n
+    return every, whole[:-1], whole[-1]
 
 
 def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -319,7 +336,7 @@ def _reduce(folder: str, bits: int, low: int, k: int):
     def write(name, keys, *columns):
         out, url = bytewords.open_out(folder, name)
         with out:
-            out.write(Table.pack(_stored_keys(keys, bits, low), low, list(columns)))
+            out.write(Table.pack(_stored_keys(keys, bits, low), low, list(columns), 4))
         return url
 
     def run(batches):
@@ -336,10 +353,9 @@ def _reduce(folder: str, bits: int, low: int, k: int):
                 del told, words, counts
             if k in kinds:
                 words, columns, n = _unpack_grams(kinds.pop(k))
-                keys, contexts = _keys_of(words, columns)
-                keys, at, n = _merge(keys, n)
+                keys, at, n = _merge(_keys_of(words, columns)[0], n)
                 columns = [x[at] for x in columns]
-                contexts = None if contexts is None else contexts[at]
+                del at
                 told = {"k": k, "contexts": None}
                 if k == 2:
                     told["grams"] = write(f"grams-2-{shard:06d}", keys, n)
@@ -358,10 +374,10 @@ def _reduce(folder: str, bits: int, low: int, k: int):
                     padded = words[columns[1]] == START >> _LOW
                     ones = n[~padded]
                     told["grams"] = write(f"grams-{k}-{shard:06d}", keys[~padded], ones)
-                    found, _, *sums = _merge(contexts[~padded], *_sums(ones))
+                    found, _, *sums = _merge(_keys_of(words, columns)[1][~padded], *_sums(ones))
                     several = sums[0] > 1  # a context that is followed once only needs no place: its own n-gram is known
                     told["contexts"] = write(f"contexts-{k}-{shard:06d}", found[several], *[x[several] for x in sums])
-                    del keys, contexts, found, sums
+                    del keys, found, sums
                     suffix, _ = _keys_of(words, columns[1:])
                     suffix, at, n = _merge(suffix, np.where(padded, n, 1))
                     columns = [x[at] for x in columns[1:]]
@@ -525,7 +541,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     counted = learned.mapInArrow(bytewords.lean(_map(bits, order)), _ROWS)
     for k in range(order, 1, -1):
         counted = counted.repartitionById(parts, F.col("shard")).mapInArrow(bytewords.lean(_reduce(folder, bits, low, k)), _ROWS)
-    done = materialize(counted.repartitionById(parts, F.col("shard")).mapInArrow(bytewords.lean(_finish(folder)), _MANIFEST), "manifest")
+    with small_batches(spark, 10_000):
+        done = materialize(counted.repartitionById(parts, F.col("shard")).mapInArrow(bytewords.lean(_finish(folder)), _MANIFEST), "manifest")
     return Model(bits, low, [r.asDict() for r in done.collect()], order)
 
 

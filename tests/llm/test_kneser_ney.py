@@ -154,10 +154,10 @@ def test_tables_find_what_was_packed():
     rng = np.random.default_rng(3)
     keys = np.unique(np.concatenate((rng.integers(0, 1 << 48, 500), np.arange(40) + (7 << 16), [0, (1 << 48) - 1])).astype(np.uint64))
     columns = [rng.integers(0, 300, len(keys)), rng.integers(0, 1 << 40, len(keys))]
-    table = kn.Table(np.frombuffer(kn.Table.pack(keys, 16, columns), np.uint8))
+    tables = [kn.Table(np.frombuffer(kn.Table.pack(keys, 16, columns, bits), np.uint8)) for bits in (4, 8)]
     asked = np.unique(np.concatenate((keys, rng.integers(0, 1 << 48, 500).astype(np.uint64), keys[:-1] + np.uint64(1))))
     known = {k: v for k, *v in zip(keys.tolist(), *[c.tolist() for c in columns], strict=True)}
-    assert table.find(asked).T.tolist() == [known.get(k, [0, 0]) for k in asked.tolist()]
+    assert all(table.find(asked).T.tolist() == [known.get(k, [0, 0]) for k in asked.tolist()] for table in tables)
     empty = kn.Table(np.frombuffer(kn.Table.pack(keys[:0], 16, [keys[:0]]), np.uint8))
     assert empty.find(asked).tolist() == [[0] * len(asked)]
 
