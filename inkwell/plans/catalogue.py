@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from inkwell.plans import amount_queries, assembly_queries, contract_queries, decode_queries, join_queries, key_queries, metric_queries, more_queries, rollup_queries, text_queries, value_queries, vocab_queries  # noqa: F401
+    from inkwell.plans import amount_queries, assembly_queries, contract_queries, decode_queries, join_queries, key_queries, metric_queries, more_queries, release_queries, rollup_queries, text_queries, value_queries, vocab_queries  # noqa: F401
