@@ -175,3 +175,14 @@ def hash_of(seed, key):
     import hashlib
 
     return hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
+
+
+def test_top_matches_in_blocks(spark):
+    rng = random.Random(8)
+    queries = [(q, rng.randrange(100)) for q in range(23)]
+    refs = [(r, rng.randrange(100)) for r in range(60)]
+    a, b = spark.createDataFrame(queries, "q long, x long"), spark.createDataFrame(refs, "r long, y long")
+    score = -F.abs(F.col("x") - F.col("y"))
+    want = {(q, k + 1): r for q, x in queries for k, (r, _) in enumerate(sorted(refs, key=lambda z: (abs(x - z[1]), z[0]))[:3])}  # noqa: B023
+    for most in (5, 100):
+        assert {(m.q, m["rank"]): m.r for m in similar.top_matches(a, b, 3, "q", "r", score, most).collect()} == want
