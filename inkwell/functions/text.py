@@ -76,9 +76,10 @@ def exact_key(x: Column) -> Column:
 
 def char3(x: Column) -> Column:
     """Distinct character trigrams of the text with a space at either edge."""
-    padded = F.concat(F.lit(" "), x, F.lit(" "))
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+    chars = F.split(F.concat(F.lit(" "), x, F.lit(" ")), "")  # by place an array is read in no time, a string is not
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat(F.get(c, i), at(c, i + 1), at(c, i + 2)))
+    return F.array_distinct(F.get(F.transform(F.array(chars), grams), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

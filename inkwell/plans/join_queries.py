@@ -437,3 +437,19 @@ def near_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.operators import sequences
 
     return sequences.first_rules(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), "text"))
+
+
+@query(rf"""
+WITH {LINES}, l AS (SELECT lower(line) AS x, min(doc_id) AS first FROM lines WHERE line <> '' GROUP BY lower(line)), b AS (SELECT DISTINCT item_id, lower(unnest(string_split(text, chr(10)))) AS x FROM benchmark),
+d AS (SELECT x, unnest(list_distinct(list_transform(range(1, greatest(length(x), 1) + 1), lambda i: substr(' ' || x || ' ', i, 3)))) AS g FROM l), i AS (SELECT DISTINCT x, unnest(list_distinct(list_transform(range(1, greatest(length(x), 1) + 1), lambda i: substr(' ' || x || ' ', i, 3)))) AS g FROM (SELECT DISTINCT x FROM b WHERE x <> '')),
+dn AS (SELECT x, count(*) AS n FROM d GROUP BY x), bn AS (SELECT x, count(*) AS n FROM i GROUP BY x), c AS (SELECT d.x AS dx, i.x AS ix, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL),
+s AS (SELECT dx, ix, c / (dn.n + bn.n - c) AS similarity FROM c JOIN dn ON dn.x = dx JOIN bn ON bn.x = ix WHERE c / (dn.n + bn.n - c) >= 0.5)
+SELECT item_id, round(max(similarity), 9) AS similarity, min(first) FILTER (WHERE similarity = best) AS doc_id FROM (SELECT item_id, similarity, first, max(similarity) OVER (PARTITION BY item_id) AS best FROM s JOIN b ON b.x = ix JOIN l ON l.x = dx) GROUP BY item_id""")
+def max_char3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's greatest trigram similarity to a line of any document, from 0.5, and the least document with such a line."""
+    grams = lambda x: similar.once(T.char3(x)).alias("tokens")
+    found = lines(spark, sf_dir).where("line <> ''").groupBy(F.lower("line").alias("x")).agg(F.min("doc_id").alias("id"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("x")).select("item_id", F.lower("x").alias("x")).where("x <> ''").distinct()
+    pairs = similar.set_similarity_to_items(found.select("id", F.xxhash64("x").alias("th"), grams(F.col("x"))), items.select("item_id", grams(F.col("x"))), 0.5)
+    best = F.max(F.struct("similarity", (-F.col("id")).alias("i")))
+    return pairs.groupBy("item_id").agg(best.alias("m")).select("item_id", F.round("m.similarity", 9).alias("similarity"), (-F.col("m.i")).alias("doc_id"))

@@ -129,13 +129,13 @@ def intent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda x: round(x::DOUBLE, 3)) AS z FROM embeddings) SELECT label, count(*) AS n, round(avg(list_sum(z)), 6) AS mean, round(max(list_max(z)), 6) AS most,
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 3)) AS z FROM embeddings) SELECT label, count(*) AS n, round(avg(list_sum(z)), 6) AS mean, round(max(list_max(z)), 6) AS most,
   round(avg(sqrt(list_sum(list_transform(z, lambda x: x * x)))), 6) AS norm FROM e GROUP BY label""")
 def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums, maxima and norms of vectors by label."""
     from inkwell.functions import arrays as A
 
-    z = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double"), 3))
+    z = F.transform("embedding", lambda x: F.round(x.cast("double"), 3))
     return table(spark, sf_dir, "embeddings").select("label", z.alias("z")).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(A.total(F.col("z"))), 6).alias("mean"), F.round(F.max(F.array_max("z")), 6).alias("most"), F.round(F.avg(F.sqrt(A.dot(F.col("z"), F.col("z")))), 6).alias("norm"))
 
@@ -156,16 +156,20 @@ def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", D.viterbi(D.rows_of(flat), MOVES).alias("tags"))
 
 
-_SOFT = """s AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[] AS a, embedding[4:6]::DOUBLE[] AS b FROM embeddings),
+_SOFT = """s AS (SELECT vec_id, label, list_transform([0, 1, 2], lambda k: list_sum(list_transform(range(1, len(embedding) // 6 + 1), lambda i: embedding[6 * i - 5 + k]::DOUBLE))) AS a,
+  list_transform([0, 1, 2], lambda k: list_sum(list_transform(range(1, len(embedding) // 6 + 1), lambda i: embedding[6 * i - 2 + k]::DOUBLE))) AS b FROM embeddings),
 p AS (SELECT vec_id, label, list_transform(a, lambda x: exp(x - list_max(a)) / list_sum(list_transform(a, lambda y: exp(y - list_max(a))))) AS p,
   list_transform(b, lambda x: exp(x - list_max(b)) / list_sum(list_transform(b, lambda y: exp(y - list_max(b))))) AS q FROM s)"""
 
 
 def soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distributions over three types from each vector."""
+    """Two distributions over three types from each vector: every sixth number adds to one of the six logits."""
     from inkwell.functions import arrays as A
 
-    part = lambda at: F.transform(A.log_softmax(F.slice(F.col("embedding").cast("array<double>"), at, 3)), F.exp)
+    z = F.col("embedding").cast("array<double>")
+    steps = F.sequence(F.lit(0), F.floor(F.size("embedding") / 6).cast("int") - 1)
+    logit = lambda at: A.total(F.transform(steps, lambda i: F.get(z, i * 6 + at)))
+    part = lambda at: F.transform(A.log_softmax(F.array(*[logit(at - 1 + k) for k in range(3)])), F.exp)
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", part(1).alias("p"), part(4).alias("q"))
 
 
