@@ -227,7 +227,8 @@ def _ranks_file(folder: str) -> str:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Write ``docs`` and read the files back: doc_id, start, n_tokens, ids_crc32."""
+    """Write ``docs`` and read the files back: doc_id, start, n_tokens, ids_crc32. A null text is empty, that is its end id alone; null
+    ids come first; repeated rows repeat; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-ids")
     return read_ids(spark, folder, materialize(write_ids(docs, folder, path), "shards"), digest=True)
