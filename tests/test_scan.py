@@ -52,3 +52,66 @@ def test_loose_candidates_and_cores(spark):
         scan.loose_english(F.col("a")).alias("a"), scan.amount_core(F.col("b")).alias("b"), scan.amount_core(F.col("c")).alias("c")).first()
     assert [(m.text, m.kind) for m in row.a] == [("12a", "loose"), ("$20", "digit"), ("ref#7", "loose")]
     assert (row.b, row.c) == ("500", "20")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def document_lines():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text", "source"]).to_pylist()
+    return [(r["doc_id"], k, line) for r in rows for k, line in enumerate((r["text"] or "").split("\n"))], rows
+
+
+def test_amounts_en_equal_a_python_twin(spark):
+    import regex
+
+    from inkwell.functions import amounts
+    from inkwell.plans import catalogue
+
+    catalogue.load()
+    want = {}
+    for doc, k, line in document_lines()[0]:
+        found = [m[0] for m in regex.finditer(amounts.ENGLISH_NUMBER, line)]
+        marked = [m for m in found if m.startswith("$") or regex.search(amounts.MONEY_WORD, m)]
+        if found:
+            best = (marked or found)[-1]
+            want[doc, k] = regex.sub(amounts.MONEY_WORD, "", best.removeprefix("$"))
+    got = {(r.doc_id, r.line_no): r.value for r in catalogue.QUERIES["amounts_en"](spark, SF).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_number_roles_equal_a_python_twin(spark):
+    from collections import Counter
+
+    import regex
+
+    from inkwell.plans import catalogue
+
+    catalogue.load()
+    number = r"(?:[$€£]\s?)?\d[\d.,:/]*\d\s?(?:%|€|\p{L}{1,4}\b)?|(?:[$€£]\s?)?\d\s?(?:%|€|\p{L}{1,4}\b)?"
+    roles = [(r"\d:\d", "time"), (r"\d/\d", "date"), ("%", "percent"), (r"\A0\d{8,10}\b", "phone"), (r"(?i)\d(?:st|nd|rd|th)\b", "ordinal"), (r"(?i)[$€£]|\d\s?(?:usd|eur|k)\b", "money"),
+             (r"(?i)\d\s?(?:kg|g|km|m|cm|ml|l|gb|mb)\b", "measure"), (r"\A(?:19|20)\d\d\b", "year"), ("", "plain")]
+    want = Counter()
+    for r in document_lines()[1]:
+        for m in regex.finditer(number, r["text"] or "", flags=regex.ASCII):
+            want[r["source"], next(name for p, name in roles if regex.search(p, m[0]))] += 1
+    got = {(r.source, r.role): r.n for r in catalogue.QUERIES["number_roles"](spark, SF).collect()}
+    assert got == dict(want)
+
+
+def test_every_loose_candidate_is_found(spark):
+    """Strict and loose candidates together hold every digit run of a line, and lie where they say."""
+    from inkwell.plans import catalogue
+
+    catalogue.load()
+    lines = {(d, k): line for d, k, line in document_lines()[0]}
+    covered = {}
+    for r in catalogue.QUERIES["scan_english_lines"](spark, SF).collect():
+        assert lines[r.doc_id, r.line_no][r.start : r.end] == r.text
+        covered.setdefault((r.doc_id, r.line_no), set()).update(range(r.start, r.end))
+    for key, line in lines.items():
+        assert all(i in covered.get(key, ()) for i, c in enumerate(line) if c in "0123456789")
+    for r in catalogue.QUERIES["amounts_vi"](spark, SF).collect():
+        assert lines[r.doc_id, r.line_no][r.start : r.end] == r.text
