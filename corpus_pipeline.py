@@ -9,13 +9,20 @@ from inkwell.llm.encoder import vocabulary_path
 from inkwell.session import materialize, release, table
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts pass through Python in the stages; batches by bytes instead of ten thousand rows keep workers and the JVM's buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
+    bound_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash near-duplicate group stays."""
+    bound_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -31,6 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token-id data set, as read back from its shards."""
+    bound_batches(spark)
     return id_codec.round_trip(docs, vocabulary_path(id_codec.VOCABULARY))
 
 
