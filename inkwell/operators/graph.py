@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import materialize
+from inkwell.session import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        last, now = now, materialize(_small_star(_large_star(now)), "stars")
+        release(last)
         digest = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if before == tuple(digest):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -4,7 +4,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import similar
+from inkwell import session
+from inkwell.operators import graph, similar
 
 
 def near_copies(seed):
@@ -48,3 +49,9 @@ def test_similar_sets_store_less_than_the_sets(spark, monkeypatch):
     members, pairs = similar.similar_sets(spark.range(2000).select("id", tokens.alias("tokens")), 0.8)
     assert members.count() == 2000 and pairs.count() == 100 * 190
     assert sum(n for _, n in stored) < 0.5 * 2000 * 300 * 8
+
+
+def test_components_keep_one_table(spark):
+    before = len(session._OWNED)
+    found = graph.components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r.component for r in found.collect()} == {0} and len(session._OWNED) == before + 1
