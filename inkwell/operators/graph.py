@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import materialize, release
+from inkwell.session import materialize, release, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         last, now = now, materialize(_small_star(_large_star(now)), "stars")
         release(last)
-        digest = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
+        with tidy(now.sparkSession):
+            digest = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if before == tuple(digest):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = tuple(digest)

@@ -1,4 +1,5 @@
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -55,3 +56,24 @@ def test_components_keep_one_table(spark):
     before = len(session._OWNED)
     found = graph.components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert {r.component for r in found.collect()} == {0} and len(session._OWNED) == before + 1
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Shuffle files that stay until garbage is collected add up over the steps of a query."""
+    kept = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = kept()
+    docs = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat_ws(" ", (F.col("id") / 5).cast("int"), F.when(i == 1, F.col("id")), i)).alias("tokens"))
+    members, pairs = similar.similar_sets(docs, 0.8)
+    deadline = time.time() + 10
+    while kept() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not kept() - before
+    assert members.count() == 300 and pairs.count() == 60 * 10
+
+
+def test_near_copies_meet_few_times(spark):
+    """Sets that agree in most first tokens come as a candidate where their order differs, not once for each token."""
+    head = [*range(1, 31)]
+    rows = [(g, 150, [x if x != g else 1000 + g for x in head]) for g in range(1, 21)]
+    met = similar._met(spark.createDataFrame(rows, "h long, n int, head array<int>"), 0.8)
+    assert met.distinct().count() == 190 and met.count() <= 190 * 4
